@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, mixing, ngram_join, pii, sharding, url_filter
+from chatloom.llm import decontaminate, mixing, ngram_join, pii, sharding, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+#: The tokenizer's file: a parameter, looked up where the queries run.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files, freq = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end=2)
+    return token_files.read_tokens(files, freq)
