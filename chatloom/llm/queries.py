@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, mixing, ngram_join, pii, sharding, token_files, url_filter
+from chatloom.llm import chunk_dedup, decontaminate, mixing, ngram_join, ogg, pii, sharding, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,13 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files, freq = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end=2)
     return token_files.read_tokens(files, freq)
+
+
+@query("op1_ogg")
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op3_chunk_dedup")
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
