@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import chunk_dedup, decontaminate, mixing, ngram_join, ogg, pii, sharding, token_files, url_filter
+from chatloom.llm import chunk_dedup, decontaminate, mixing, ngram_join, ogg, pii, quality, sharding, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,9 @@ def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chunk_dedup")
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "source", "lang", *quality.ADDED)
