@@ -16,8 +16,14 @@ def mask_count(mask: Column) -> Column:
 
 
 def has_adjacent_pair(mask: Column) -> Column:
-    """Whether two neighbours are both 1."""
-    return F.exists(F.transform(mask, lambda x, i: (x == 1) & (F.get(mask, i + 1) == 1)), lambda y: F.coalesce(y, F.lit(False)))
+    """Whether two neighbours are both 1. A fold, so that the array is evaluated once."""
+    start = F.struct(F.lit(0).alias("last"), F.lit(False).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        one = F.when(x == 1, 1).otherwise(0)
+        return F.struct(one.alias("last"), (s["found"] | ((s["last"] == 1) & (one == 1))).alias("found"))
+
+    return F.coalesce(F.aggregate(mask, start, step, lambda s: s["found"]), F.lit(False))
 
 
 def head(a: Column, n: int) -> Column:
@@ -38,7 +44,7 @@ def shift_right(a: Column, fill: Column) -> Column:
 
 
 def zero_last(a: Column) -> Column:
-    return F.transform(a, lambda x, i: F.when(i == F.size(a) - 1, 0).otherwise(x))
+    return F.when(F.size(a) > 0, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.lit(0)))).otherwise(a)
 
 
 def gather(a: Column, at: Column) -> Column:
@@ -103,20 +109,22 @@ def argmax(a: Column) -> Column:
     return F.nullif(F.array_position(a, F.array_max(a)) - 1, F.lit(-1))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not once for each use in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def logsumexp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.ln(total(F.transform(a, lambda x: F.exp(x - top))))
+    return let(F.array_max(a), lambda top: top + F.ln(total(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def softmax(a: Column) -> Column:
-    all_ = logsumexp(a)
-    return F.transform(a, lambda x: F.exp(x - all_))
+    return let(logsumexp(a), lambda all_: F.transform(a, lambda x: F.exp(x - all_)))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """-sum of target * log softmax(logits)."""
-    all_ = logsumexp(logits)
-    return -total(F.zip_with(logits, target, lambda x, p: p * (x - all_)))
+    return let(logsumexp(logits), lambda all_: -total(F.zip_with(logits, target, lambda x, p: p * (x - all_))))
 
 
 def expected_acceptance(p: Column, q: Column) -> Column:
@@ -148,8 +156,7 @@ def pace_weights(confidence: Column, smooth: float = 0.0) -> Column:
     """Weights of a block's positions: suffix sums of the prefix products of the smoothed
     confidences, by the first."""
     p = prefix_products(F.transform(confidence, lambda c: c * (1 - smooth) + smooth))
-    s = suffix_sums(p)
-    return F.transform(s, lambda x: x / F.greatest(F.get(s, F.lit(0)), F.lit(1e-12)))
+    return let(suffix_sums(p), lambda s: F.transform(s, lambda x: x / F.greatest(F.get(s, F.lit(0)), F.lit(1e-12))))
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ def pad_batch(rows: DataFrame, columns: dict[str, float], batch: str = "batch",
 def concat_features(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row per key with its rows' arrays joined in order."""
     parts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("p"))
-    return parts.select(key, *[F.flatten(F.transform("p", lambda x, c=c: x[c])).alias(c) for c in columns])
+    return parts.select(key, *[F.flatten(F.col(f"p.{c}")).alias(c) for c in columns])
 
 
 def normalize_sample(rows: DataFrame, max_length: int, zero_last: bool = True) -> DataFrame:
