@@ -13,20 +13,23 @@ code for each bit that is set, which equal parts share and others share by accid
 partners of its own.
 
 Documents with the same words are one class from the start. Classes that share a filed part
-are compared in rounds: each with one other of the part, by exact sets; classes found linked
-are then one component, and only parts that still hold several components are looked at again,
-each component with all others at the end. So a large group of near copies costs a few
-comparisons per member, and no link between different components can be missed.
+are candidates. A coarse sketch of 512 bits bounds their difference from below and drops most
+that aren't linked; the sets of the others are compared exactly. First each class is compared
+with one other of its part; classes found linked are then one component, and in parts that
+still hold several components those are compared with each other, in blocks of bounded size.
+So a large group of near copies isn't expanded into all its pairs, and no link between
+different components can be missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.session import materialize
@@ -36,8 +39,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BAND = 2.0
 #: Parts beyond the least number, as a share: leaves poor parts out of the filed ones.
 SPARE = 1.1
-#: Comparisons with one other member before all pairs across components are compared.
-STAR_ROUNDS = 3
+#: 64-bit words of the coarse sketch.
+COARSE = 8
+#: Classes of a block in which components of a part are compared.
+BLOCK = 1024
 ROUNDS = 40
 #: Ids up to this number (32 MB) are broadcast to pick texts; more are joined by shuffles.
 BROADCAST_IDS = 4_000_000
@@ -176,44 +181,59 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _sketch(n: int):
+    """Batches of (id, text) to (id, n, s0..): the parity of each of 64 * COARSE bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * COARSE
+        for b in batches:
+            if b.num_rows:
+                sets = [shingles(t.as_py(), n) for t in b.column(1)]
+                rows = [np.packbits(np.bincount((_mix(h) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1 == 1) for h in sets]
+                words = np.stack(rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), *[pa.array(words[:, i].copy()) for i in range(COARSE)]], ["id", "n", *SKETCH])
+
+    return run
+
+
+SKETCH = [f"s{i}" for i in range(COARSE)]
+
+
+def _may_link(num: int, den: int) -> Column:
+    """Whether sizes and coarse sketches of a row and another (prefix c) allow a link."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"c{x}"))) for x in SKETCH])
+    return (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (differ <= F.floor((F.col("n") + F.col("cn")) * (den - num) / (den + num)))
+
+
 def link_classes(classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """``id, root`` for classes ``id, text`` with distinct ids."""
-    spark = classes.sparkSession
     filed = classes.mapInArrow(_file(n, num, den), "key long, id long, n int")
     shared = filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     filed = materialize(filed.join(shared, "key"), "filed")
     nodes = classes.select("id").distinct()
     classes = materialize(pick(classes, filed.select("id").distinct()), "filed-texts")
-    links: DataFrame | None = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        at = filed if roots is None else filed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        if roots is None:
-            at = at.withColumn("root", F.col("id"))
-        else:
-            # keys that still hold several components, one member of each first
-            several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-            at = materialize(at.join(several, "key"), "several")
-            if at.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            # each member with one center of its part: the least, or by another order later
-            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            center = at.groupBy("key").agg(F.min_by(F.struct(F.col("id").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot")), rank).alias("x")).select("key", "x.*")
-            pairs = at.join(center, "key").filter("root <> croot").select("id", "n", "c", "cn")
-        else:
-            other = at.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-            pairs = at.join(other, "key").filter("root < croot").select("id", "n", "c", "cn")
-        near = F.least("n", "cn") * den >= F.greatest("n", "cn") * num
-        pairs = pairs.filter(near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        found = _linked(spark, pairs, classes, n, num, den)
-        links = found if links is None else links.unionByName(found)
-        if turn == STAR_ROUNDS:
-            roots = components(nodes, links)
-            break
-        new = materialize(components(nodes, links), "classes")
-        roots = new
-    return roots
+    sketches = classes.mapInArrow(_sketch(n), "id long, n int, " + ", ".join(f"{x} long" for x in SKETCH))
+    at = materialize(filed.join(sketches, ["id", "n"]), "sketched")
+    names = ["id", "n", *SKETCH]
+    other = [F.col(x).alias(f"c{x}") for x in names]
+
+    center = at.groupBy("key").agg(F.min_by(F.struct(*other), "id").alias("x")).select("key", "x.*")
+    pairs = at.join(center, "key").filter((F.col("id") != F.col("cid")) & _may_link(num, den))
+    links = _linked(pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct(), classes, n, num, den)
+    roots = materialize(components(nodes, links), "roots")
+
+    at = at.join(roots, "id")
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").select("key", "blocks")
+    rest = at.join(several, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cell = lambda x, y: F.least(x, y) * F.col("blocks") + F.greatest(x, y)
+    rest = rest.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", cell(F.col("block"), F.col("o"))).drop("o")
+    rest = materialize(rest, "several")
+    facing = rest.select("key", "cell", F.col("root").alias("croot"), F.col("block").alias("cblock"), *other)
+    pairs = rest.join(facing, ["key", "cell"]).filter((F.col("root") < F.col("croot")) & (cell(F.col("block"), F.col("cblock")) == F.col("cell")) & _may_link(num, den))
+    more = _linked(pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct(), classes, n, num, den)
+    if more.isEmpty():
+        return roots
+    return components(nodes, links.unionByName(more))
 
 
 def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -222,7 +242,7 @@ def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def _linked(spark: SparkSession, pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     left = classes.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = classes.select(F.col("id").alias("b"), F.col("text").alias("text_b"))

@@ -1,0 +1,530 @@
+"""The ten operators against brute force, round trips and planted cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chatloom.llm import chunk_dedup, decontaminate, mixing, ngram_join, ogg, pii, quality, rans, sharding, token_files, url_filter
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ODD = [None, "", " ", "\n\t", "word", "é😀 ü", "a" * 3000, "x y " * 20000, "tie one two", "tie one two"]
+
+
+def docs(spark, texts, extra=False):
+    rows = [(i, t, ("en", None, "de")[i % 3], f"src{i % 4}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    if extra:  # columns that operators use inside, with other contents
+        for c in ("id", "key", "size", "rank", "shard", "host", "path", "rule", "verdict", "keep", "g", "n", "words", "kind", "h", "epoch", "bucket"):
+            df = df.withColumn(c, F.lit(f"own {c}"))
+    return df
+
+
+def prose(rng, n, vocabulary=3000):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+# --- 1: Ogg
+
+
+def slow_crc(data):
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = ((c << 1) ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+    return c
+
+
+def test_page_checksums():
+    for n in (0, 1, 7, 300):
+        data = random.Random(n).randbytes(n)
+        assert ogg.page_crc(data) == slow_crc(data)
+
+
+@pytest.mark.parametrize("frames", [1, 6, 7, 8, 13, 14, 15, 22, 85, 86, 171, 1000])
+def test_payload_comes_back(frames):
+    payload = random.Random(frames).randbytes(ogg.FRAME * frames)
+    back, found = ogg.load(ogg.store(payload))
+    assert back == payload and found["bad"] == found["lost"] == found["gaps"] == 0 and found["ms"] == frames * 1000 // ogg.RATE
+
+
+def test_damage_is_found():
+    media = bytearray(ogg.store(random.Random(1).randbytes(ogg.FRAME * 200)))
+    media[len(media) // 2] ^= 1
+    streams, bad = ogg.demultiplex(bytes(media))
+    assert bad == 1 and sum(s.lost for s in streams.values()) == 1
+    with pytest.raises(ValueError):
+        ogg.load(bytes(media))
+
+
+def test_packets_of_all_lengths():
+    packets = [(random.Random(n).randbytes(n), n + 1) for n in (0, 1, 254, 255, 256, 510, 511, 70000)]
+    streams, bad = ogg.demultiplex(ogg.multiplex({7: packets, 9: packets[::-1]}))
+    assert bad == 0
+    assert [p for p, _ in streams[7].packets] == [p for p, _ in packets]
+    assert [p for p, _ in streams[9].packets] == [p for p, _ in packets[::-1]]
+
+
+def test_ogg_over_documents(spark):
+    df = docs(spark, ODD, extra=True)
+    out = {r["doc_id"]: r for r in ogg.round_trip(df).collect()}
+    for i, t in enumerate(ODD):
+        raw = (t or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert (out[i]["n_bytes"], out[i]["payload_bytes"], out[i]["payload_sha256"], out[i]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert out[8][4:] == out[9][4:]
+    assert ogg.round_trip(df.limit(0)).count() == 0
+    media = spark.createDataFrame([(1, ogg.store(b"\1" * 192)), (2, None), (3, b"junk")], "doc_id bigint, media binary")
+    assert ogg.packets(media).select("doc_id").distinct().collect()[0][0] == 1
+
+
+# --- 2: URL filter
+
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def brute_url(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]) if m else ""
+    path = m[2] if m else ""
+    best = None
+    for rule, verdict in RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, best[0] if best else None, best[1] if best else "allow"
+
+
+URLS = [None, "", "no scheme", "http://WWW.Example.COM/en/x?q", "http://a.example.com/en/", "http://example.com/en", "x://b.net/es/1#y", "x://net/fr/", "x://notnet.org/es/", "http://com", "http://com/", "http://.com/", "http://com./", "a://b://c.net/es/", "http://K\u212a.com/é/"]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_urls_against_brute_force(spark, max_bytes):
+    rng = random.Random(3)
+    urls = URLS + [f"http://{'.'.join(rng.choice(['www', 'example', 'com', 'net', 'a']) for _ in range(rng.randint(1, 4)))}/{rng.choice(['en', 'es', 'fr'])}/{rng.randrange(9)}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("rule", F.lit("own"))
+    out = url_filter.filter_urls(pages, spark.createDataFrame(RULES, "rule string, verdict string"), max_bytes=max_bytes)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+    assert got == {i: brute_url(u) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(RULES, "rule string, verdict string")).count() == 0
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    listed = universe.filter("key LIKE '%7'")
+    levels = url_filter.build_cascade(listed, universe)
+    got = universe.filter(url_filter.member(F.col("key"), levels))
+    assert got.count() == listed.count() == got.join(listed, "key").count()
+    assert len(levels) > 2 and sum(x.bits for x in levels) < 8 * 20000
+
+
+# --- 3: content-defined chunks
+
+
+def test_chunks_cover_the_text_and_resist_shifts():
+    data = random.Random(1).randbytes(20000)
+    a, b = set(chunk_dedup.ends(data).tolist()), {e - 3 for e in chunk_dedup.ends(b"new" + data).tolist()}
+    assert len(a ^ b) <= 4 and max(a) == len(data)
+    assert chunk_dedup.ends(b"").tolist() == [] and chunk_dedup.ends(b"ab").tolist() == [2]
+    same = chunk_dedup.ends(b"a" * 5000)
+    assert np.diff(same, prepend=0).max() <= chunk_dedup.MOST and same[-1] == 5000
+
+
+def test_repeated_passages_are_found_and_clean_texts_left(spark):
+    rng = random.Random(5)
+    passage, line = prose(rng, 51, 10**6), prose(rng, 8, 10**6)
+    texts = [prose(rng, 200, 10**6) + " " + line for _ in range(12)]
+    for i, cut in ((2, 10), (5, 77), (9, 500)):
+        texts[i] = texts[i][:cut] + passage + texts[i][cut:]
+    texts += [None, "", texts[0]]
+    out = chunk_dedup.repeated_passages(docs(spark, texts, extra=True)).collect()
+    assert {r["doc_id"] for r in out} == {2, 5, 9, 0, 14}
+    for r in out:
+        assert r["end_byte"] - r["start_byte"] >= chunk_dedup.LEAST_BYTES
+    assert all(r["first_doc_id"] in (0, 2) for r in out)
+    assert chunk_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
+
+
+# --- 4: mixing
+
+
+def brute_share(budget, children):
+    """children: key -> (w, cap). Fill by weight, cap, and deal the rest again."""
+    got, live = {k: 0 for k in children}, {k for k, (w, c) in children.items() if w and c}
+    left = budget
+    while live:
+        total = sum(children[k][0] for k in live)
+        full = {k for k in live if children[k][1] * total <= children[k][0] * left}
+        if not full:
+            for k in live:
+                got[k] = left * children[k][0] / total
+            break
+        for k in full:
+            got[k] = children[k][1]
+            left -= children[k][1]
+        live -= full
+    return got
+
+
+def test_budgets_against_filling(spark):
+    rng = random.Random(7)
+    children = {f"k{i}": (rng.randint(0, 5), rng.choice([0, 3, 50, 1000, 10**6])) for i in range(40)}
+    budget = sum(c for _, c in children.values()) // 3
+    rows = spark.createDataFrame([(k, w, c, budget) for k, (w, c) in children.items()], "k string, w bigint, cap bigint, budget bigint")
+    got = {r["k"]: r["got"] for r in mixing.share(rows, [], "k").collect()}
+    want = brute_share(budget, children)
+    assert all(abs(got[k] - want[k]) <= 1 and got[k] <= children[k][1] for k in children)
+    assert sum(got.values()) == budget
+
+
+def test_mixture_takes_exact_totals(spark):
+    rng = random.Random(2)
+    df = docs(spark, [prose(rng, rng.randint(1, 60)) for _ in range(300)] + ODD, extra=True)
+    w = {"domain": {"a": 3, "b": 1}, "lang": {"en": 2}}
+    domain = F.when(F.col("source") == "src1", "a").otherwise("b")
+    total = df.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    out = mixing.mix(df, 0.5, w, domain, seed=1).collect()
+    assert sum(r["take_tokens"] for r in out) == int(total * 0.5)
+    leaf = Counter((r["domain"], r["lang"], r["source"]) for r in out if r["take_tokens"] < r["n_tokens"])
+    assert max(leaf.values(), default=0) == 1  # one row that a prefix ends in
+    twice = mixing.mix(df, int(total * 1.7), w, domain, seed=1, max_epochs=2).collect()
+    assert sum(r["take_tokens"] for r in twice) == int(total * 1.7) and {r["epoch"] for r in twice} <= {0, 1}
+    assert mixing.mix(df.limit(0), 0.5, w, domain).count() == 0
+
+
+def test_prefix_is_the_seeded_order(spark):
+    df = docs(spark, ["a b c"] * 50).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    out = sorted(r["doc_id"] for r in mixing.mix(df, 31, {}, F.lit("d"), seed=4).collect())
+    order = sorted(range(50), key=lambda i: hashlib.md5(f"4:0:{i}".encode()).hexdigest())
+    assert out == sorted(order[:11])
+
+
+# --- 5: token files
+
+
+def test_coder_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (1, 255, 256, 257, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK + 77):
+        ids = rng.zipf(1.5, n) % 3000
+        table = rans.Table(rans.quantize(np.bincount(ids, minlength=3000)))
+        blob = token_files.write_file([(5, ids[: n // 2]), (6, ids[n // 2 :])], table)
+        index, back = token_files.read_file(blob, table)
+        assert np.array_equal(back, ids) and index["n"].tolist() == [n // 2, n - n // 2]
+    _, part = token_files.read_file(blob, table, range(1, 2))  # any block on its own
+    assert np.array_equal(part, ids[rans.BLOCK : 2 * rans.BLOCK])
+    broken = bytearray(blob)
+    broken[len(broken) // 2] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        token_files.read_file(bytes(broken), table)
+
+
+def test_frequencies_cover_all_symbols():
+    f = rans.quantize(np.array([0, 1, 10**9, 1, 5]))
+    assert f.sum() == 1 << rans.SCALE and (f[[1, 2, 3, 4]] > 0).all() and f[0] == 0
+    assert rans.quantize(np.ones(50257)).sum() == 1 << rans.SCALE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def test_units_encode_as_whole_texts(tokenizer):
+    e = token_files.encoder(tokenizer)
+    rng = random.Random(3)
+    texts = ["a   b", " a", "a ", "a  ", "  ", "a\n b", "a\n \tb", "it's, I'll", "<|endoftext|> a", "x\x00 y", "　 　a"]
+    texts += ["".join(rng.choice(["a", "bc", " ", " ", "\n", ".", "'s", "1", "é", "漢", "ﬁ", "<|endoftext|>"]) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    for t in texts:
+        assert np.frombuffer(e.encode(t), e.kind).tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_token_files_over_documents(spark, tokenizer):
+    df = docs(spark, ODD, extra=True)
+    files, freq = token_files.write_tokens(df, tokenizer)
+    out = {r["doc_id"]: r for r in token_files.read_tokens(files, freq).collect()}
+    e, at = token_files.encoder(tokenizer), 0
+    for i, t in enumerate(ODD):
+        ids = [*e.whole.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    files, freq = token_files.write_tokens(df.limit(0), tokenizer)
+    assert token_files.read_tokens(files, freq).count() == 0
+
+
+# --- 6: sharding
+
+
+def brute_best_fit(items, capacity, shards):
+    room = [capacity] * shards
+    out = []
+    for s in sorted(items, reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= s]
+        if not fits:
+            return None
+        r, i = min(fits)
+        room[i] -= s
+        out.append((s, i))
+    return Counter(out)
+
+
+def test_packing_is_best_fit_decreasing():
+    rng = random.Random(1)
+    items = [rng.choice([17, 30, 30, 55, 100, 400]) + rng.randint(0, 3) for _ in range(500)]
+    capacity = math.ceil(sum(items) / 12 * 1.01)
+    runs = sharding.best_fit(list(Counter(items).items()), capacity, 12)
+    got = Counter()
+    for s, n, i in runs:
+        got[s, i] += n
+    assert got == brute_best_fit(items, capacity, 12)
+    opened = sharding.best_fit([(7, 10)], 20)
+    assert {i for _, _, i in opened} == set(range(5))  # two of seven in each of five
+
+
+def test_shards_are_whole_and_even(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(1500)] + ["copy of one"] * 300 + ODD
+    df = docs(spark, texts, extra=True)
+    out = sharding.shard(df, 8).collect()
+    assert len(out) == len(texts)
+    where, bytes_ = {}, Counter()
+    for r in out:
+        t = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(t) + 16 and r["text_crc32"] == zlib.crc32(t) and r["grown_shard"] is None and r["law"] == "bytes"
+        assert where.setdefault(t, r["shard"]) == r["shard"]
+        bytes_[r["shard"]] += r["size"]
+    for s in range(8):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    alone = {where[("x y " * 20000).encode()]}
+    rest = [b for s, b in bytes_.items() if s not in alone]
+    assert max(rest) < 1.05 * min(rest)
+    assert sharding.shard(df.limit(0), 8).count() == 0
+
+
+# --- 7: quality
+
+
+def junk(rng):
+    return " ".join(w.upper() + "!!" for w in prose(rng, 40).split())
+
+
+def test_quality_and_toxicity_held_out(spark):
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(900):
+        good, toxic = rng.random() < 0.8, rng.random() < 0.2
+        t = prose(rng, rng.randint(20, 80)) if good else junk(rng)
+        if toxic:
+            t += " slur" + rng.choice("ab") + " " + prose(rng, 5)
+        texts.append(t)
+        labels.append((i, int(good), int(toxic)))
+    df = docs(spark, texts + ODD, extra=True)
+    known = spark.createDataFrame([x for x in labels if x[0] % 3] + [(1, None, 0)], "doc_id bigint, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.classify(df, known).collect()}
+    assert len(out) == len(texts) + len(ODD)
+    held = [x for x in labels if x[0] % 3 == 0]
+    right = sum(out[i]["keep"] == bool(good and not toxic) for i, good, toxic in held)
+    assert right / len(held) > 0.95
+    assert quality.classify(df.limit(0), known).count() == 0
+    assert quality.classify(df, known.limit(0)).filter("keep").count() == len(texts) + len(ODD)
+
+
+def test_sparse_sites_shrink_to_the_prior(spark):
+    rows = [("big", "en", 3.0)] * 400 + [("bad", "en", -3.0)] * 400 + [("mid", "en", 0.0)] * 400 + [("one", "en", -3.0)]
+    scored = spark.createDataFrame([(h, p, e, -4.0) for h, p, e in rows], "host string, path string, __good double, __toxic double")
+    level = {r["host"]: r["good_path"] for r in quality.site_levels(scored).collect()}
+    assert level["bad"] < level["one"] < level["mid"] < level["big"]
+
+
+# --- 8: personal data
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in BASE:
+        for m in pattern.finditer(text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "card" and not (16 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_personal_data_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["a@b.c_d@e.f x", "a@b.c..x@y.z", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4 00256.1.1.1", "4041894974608795 4041-8949-7460-8795", "+49 (0)30 1234567-8 +1+2 +12345678", "é😀 foo@bar.com 😀 1.2.3.4", "1" * 3000 + " " + "a" * 3000 + "@" + "b.c" * 2000]
+    texts += ["".join(rng.choice("ab1234567890123456..@@+- ()%") for _ in range(300)) for _ in range(150)] + ODD
+    texts += ["reach me: joe (at) mail (dot) com", "call (555) 234-5678"]
+    out = {r["doc_id"]: r for r in pii.find_pii(docs(spark, texts, extra=True)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        r = out[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        n = Counter(s.split(":")[0] for s in want)
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [n[k] for k, _ in BASE]
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+    assert out[len(texts) - 2]["added"] == 1
+    assert pii.find_pii(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_labelers_reliabilities_are_found():
+    rng = random.Random(8)
+    rate = (0.95, 0.9, 0.85, 0.6, 0.8)
+    counts = Counter()
+    for _ in range(20000):
+        truth = rng.random() < 0.6
+        counts["email", tuple((1 if truth == (rng.random() < p) else -1) if rng.random() < 0.9 else 0 for p in rate)] += 1
+    prior, table = pii.reliabilities(counts)
+    assert abs(prior["email"] - 0.6) < 0.03
+    for i, p in enumerate(rate):
+        assert abs(table["email", i, 1, 1] / (table["email", i, 1, 1] + table["email", i, -1, 1]) - p) < 0.04
+
+
+# --- 9: decontamination
+
+
+def test_leaks_with_substitutions(spark):
+    rng = random.Random(9)
+    items = [prose(rng, n, 10**6) for n in (14, 20, 40, 6, 3, 60)] + [None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+
+    def put(item, change=()):
+        words = item.split()
+        for i in change:
+            words[i] = "other"
+        return prose(rng, 30, 10**6) + " " + " ".join(words) + " " + prose(rng, 30, 10**6)
+
+    texts = [put(items[0]), put(items[0], (7,)), put(items[1], (5, 14)), put(items[2], (3, 11, 19, 27, 35)).upper(), put(items[3]), put(items[4])]
+    texts += [put(" ".join(items[5].split()[10:40])), ", ".join(items[2].split()), *(prose(rng, 300, 10**6) for _ in range(20)), *ODD]
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts, extra=True), bench).collect()}
+    assert out == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (6, 5), (7, 2)}
+    blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts), bench, block_windows=50).collect()}
+    assert blocks == out
+    assert decontaminate.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_any_substitution_leaves_a_window():
+    span = len(decontaminate.MASKS[0])
+    for at in range(span + 1):
+        assert any(at < s or at >= s + span or m[at - s] == "0" for s in range(2) for m in decontaminate.MASKS)
+
+
+# --- 10: n-gram Jaccard join
+
+
+def sets(text, n):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    m = min(n, len(words))
+    return frozenset(tuple(words[i : i + m]) for i in range(len(words) - m + 1)) if words else frozenset()
+
+
+def brute_components(texts, n, num, den):
+    s = [sets(t, n) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(s)):
+        for b in range(a):
+            both = len(s[a] & s[b])
+            if both and den * both >= num * (len(s[a]) + len(s[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [(len(s[i]), find(i)) for i in range(len(texts))]
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        i = rng.randrange(len(words))
+        words[i] = rng.choice(["new", "other", words[i].upper(), words[i] + "x"])
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 80, 100), (1, 50, 100)])
+def test_components_against_brute_force(spark, n, num, den):
+    rng = random.Random(n)
+    texts = [*ODD]
+    for size in (1, 2, 5, 9, 17, 40, 90, 200):
+        for _ in range(4):
+            base = prose(rng, size)
+            texts += [base] + [edited(rng, base, rng.randint(0, 1 + size // 20)) for _ in range(4)]
+    base = prose(rng, 120)
+    texts += [edited(rng, base, rng.randint(0, 9)) for _ in range(60)]  # a family whose links form chains
+    out = {r["doc_id"]: r for r in ngram_join.jaccard_components(docs(spark, texts, extra=True), n, num, den).collect()}
+    assert [(out[i]["n_shingles"], out[i]["component_id"]) for i in range(len(texts))] == brute_components(texts, n, num, den)
+
+
+def test_filed_parts_meet_for_every_linked_pair():
+    rng = np.random.default_rng(2)
+    for trial in range(400):
+        a = int(rng.integers(1, 600))
+        num, den = (85, 100) if trial % 2 else (80, 100)
+        whole = np.unique(rng.integers(0, 2**63, a, dtype=np.int64)).astype(np.uint64)
+        c = len(whole) * den // num
+        other = np.unique(np.concatenate([whole, rng.integers(0, 2**63, c - len(whole), dtype=np.int64).astype(np.uint64)]))
+        assert set(ngram_join.filed_parts(whole, num, den).tolist()) & set(ngram_join.filed_parts(other, num, den).tolist())
+
+
+def test_join_of_nothing(spark):
+    assert ngram_join.jaccard_components(docs(spark, ["a b c d e f"]).limit(0)).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    item = prose(rng, 40, 10**6)
+    texts, labels = [], []
+    for i in range(240):
+        good, toxic = i % 8 != 0, i % 9 == 0
+        t = prose(rng, 60, 10**6) if good else junk(rng)
+        texts.append(t + (" slura" if toxic else ""))
+        labels.append((i, int(good), int(toxic)))
+    clean = [i for i, g, x in labels if g and not x]
+    copy, leak = clean[5], clean[7]
+    texts += [texts[copy] + " end", texts[copy], prose(rng, 30, 10**6) + " " + item, None]
+    df = docs(spark, texts)
+    for name, rows, schema in (("documents", df, None), ("labels", labels, "doc_id bigint, quality int, toxic int"), ("benchmark", [(0, item)], "item_id bigint, text string")):
+        (rows if schema is None else spark.createDataFrame(rows, schema)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = [set(range(len(texts)))]
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / f"stage{i}"))
+        at = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        kept.append({r["doc_id"] for r in at.select("doc_id").collect()})
+    assert not kept[1] & {i for i, g, x in labels if not g or x} and len(kept[1] & set(clean)) >= 0.97 * len(clean)
+    assert kept[2] == kept[1] - {240, 241}
+    assert kept[3] == kept[2] - {242}
+    assert kept[4] < kept[3] and kept[5] == kept[4]
+    assert leak in kept[3]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[5])
