@@ -177,3 +177,11 @@ def depth_metrics(rows: DataFrame) -> DataFrame:
     """Per depth ``correct, total, acc`` over rows whose target is in the vocabulary."""
     ok = F.col("in_vocab")
     return rows.groupBy("depth").agg(F.count_if(ok & F.col("correct")).alias("correct"), F.count_if(ok).alias("total")).withColumn("acc", F.col("correct") / F.greatest("total", F.lit(1)))
+
+
+def confidence_terms(confidence: Column, accepted: Column) -> dict[str, Column]:
+    """Means over positions: cross-entropy of the confidence, its absolute error, and how often it
+    falls on the right side of one half."""
+    c = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), confidence))
+    bce = -(accepted * F.ln(c) + (1 - accepted) * F.ln(1 - c))
+    return {"bce": F.avg(bce), "abs_error": F.avg(F.abs(confidence - accepted)), "agreement": F.avg(((confidence >= 0.5) == (accepted == 1)).cast("double"))}
