@@ -9,9 +9,13 @@ be written to and read from whatever store Spark reaches and survive lost execut
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,69 +32,102 @@ HEAD = struct.Struct("<8sIIQQI")
 #: A file ends with the document that fills it.
 FILE_TOKENS = 16 * rans.BLOCK
 #: Units of text whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 500_000
 BUCKETS = 1024
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level tokenizers spell each byte: printable bytes of
+    Latin-1 stand for themselves, the others follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: A unit of letters with a mark behind, or two such with a line's end between.
+SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]?)(?:\n([^\W\d_]+)([.,;:!?]?))?")
+
+
 class Encoder:
     """The tokenizer's ids, remembered by the units of text between spaces.
 
     The tokenizer (byte-level, without normalizer or prefix space) never joins what stands
     before a space to what follows it, unless white space meets there; such texts are
-    encoded whole."""
+    encoded whole. Units of letters and marks go to the tokenizer's model piece by piece, as
+    its own splitting would; all others through the whole tokenizer."""
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.apart = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.model = self.whole.model
-        byte = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte = byte
+        self.letters = byte_letters()
         self.size = self.whole.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
         self.ids: dict[str, bytes] = {}
-        self.edges: set[str] = {""}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {p: self._piece(p) for p in ".,;:!?\n"}
+        self.edges: dict[str, bytes] = {}  # units with white space at an end
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of one run of letters or punctuation with a space before it."""
-        return [t.id for t in self.model.tokenize(self.byte.pre_tokenize_str(word)[0][0])]
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece as the tokenizer's splitting gives it to its model."""
+        spelled = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(spelled)])
+
+    def _word(self, word: str) -> bytes:
+        known = self.ids.get(word) or self.old.get(word)
+        if known is None:
+            known = self.ids[word] = self._piece(" " + word)
+        return known
 
     def _learn(self, units: set[str]) -> None:
         rest = []
         for u in units:
-            if u and max(u) < "ɐ" and u.isalpha():
-                self.ids[u] = self._pack(self._word(" " + u))
-            elif len(u) > 1 and u[-1] in ".,;:!?" and max(u) < "ɐ" and u[:-1].isalpha():
-                self.ids[u] = self._pack(self._word(" " + u[:-1]) + self._word(u[-1]))
+            if (known := self.old.get(u)) is not None:
+                self.ids[u] = known
+            elif u.isalpha() and max(u) < "ɐ":
+                self.ids[u] = self._piece(" " + u)
+            elif u and max(u) < "ɐ" and (m := SIMPLE.fullmatch(u)):
+                word, mark, second, end = m.groups()
+                out = self._word(word)
+                if mark:
+                    out += self.pieces[mark]
+                if second:
+                    out += self.pieces["\n"] + self._piece(second) + (self.pieces[end] if end else b"")
+                self.ids[u] = out
             else:
                 rest.append(u)
-                if not u or u[0].isspace() or u[-1].isspace():
-                    self.edges.add(u)
         for u, e in zip(rest, self.whole.encode_batch_fast([" " + u for u in rest], add_special_tokens=False), strict=True):
-            self.ids[u] = self._pack(e.ids)
+            (self.edges if not u or u[0].isspace() or u[-1].isspace() else self.ids)[u] = self._pack(e.ids)
 
     def encode(self, text: str) -> bytes:
         if not self.apart or not text:
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         head, *units = text.split(" ")
-        try:
-            body = [self.ids[u] for u in units]
-        except KeyError:
-            if len(self.ids) > CACHE:
-                self.ids.clear()
-            self._learn({u for u in units if u not in self.ids})
-            body = [self.ids[u] for u in units]
-        if not self.edges.isdisjoint(units) and _meets(head, units):
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+        body = list(map(self.ids.get, units))
+        if None in body:
+            if len(self.ids) > CACHE:  # what was used since the last time stays at hand
+                self.old, self.ids, self.edges = self.ids, {}, {}
+                body = [None] * len(units)
+            gaps = [i for i, b in enumerate(body) if b is None]
+            self._learn({units[i] for i in gaps if units[i] not in self.edges})
+            meets = False
+            for i in gaps:
+                if (known := self.ids.get(units[i])) is None:
+                    known, meets = self.edges[units[i]], True
+                body[i] = known
+            if meets and _meets(head, units):
+                return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         first = self._pack(self.whole.encode(head, add_special_tokens=False).ids) if head else b""
         return first + b"".join(body)
 
