@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from chatloom.session import materialize
 
 #: Rows of one hash bucket, within which ranks are counted by a window.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
+#: Counts of up to this number of sizes or shards (some 10 MB) are broadcast.
+BROADCAST_SIZES = 200_000
 
 
 class Rooms:
@@ -116,14 +118,16 @@ def pack(sizes: list[tuple[int, int]], shards: int, tolerance: float = 1e-4) ->
     return alone + runs
 
 
-def _ranked(df: DataFrame, key: str, order: list[Column], salt: Column, rows: DataFrame, name: str) -> DataFrame:
+def _ranked(df: DataFrame, key: str, order: list[Column], salt: Column, rows: DataFrame, few: bool, name: str) -> DataFrame:
     """Add ``name``: the gapless rank of each row among those with its ``key``.
 
-    ``rows`` has the count ``n`` of each key. A key's rows are dealt to hash buckets of about
+    ``rows`` has the count ``n`` of each key; ``few`` says that its rows were counted and may be
+    broadcast, so that no row is dealt by its key alone. A key's rows are dealt to hash buckets of about
     BUCKET_ROWS; a rank is the rows of the buckets before, plus the rank within the bucket."""
     many = rows.select(key, F.ceil(F.col("n") / BUCKET_ROWS).alias("__buckets"))
-    df = df.join(many, key).withColumn("__bucket", F.pmod(salt, F.col("__buckets"))).drop("__buckets")
-    hot = df.join(many.filter("__buckets > 1").drop("__buckets"), key, "left_semi").groupBy(key, "__bucket").count()
+    df = df.join(F.broadcast(many) if few else many, key).withColumn("__bucket", F.pmod(salt, F.col("__buckets"))).drop("__buckets")
+    hot = many.filter("__buckets > 1").drop("__buckets")
+    hot = df.join(F.broadcast(hot) if few else hot, key, "left_semi").groupBy(key, "__bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.join(hot.select(key, "__bucket", before.alias("__before")), [key, "__bucket"], "left")
     within = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)) - 1
@@ -154,9 +158,9 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "
         where.append(to)
         starts.append(starts[-1] + n)
     runs = spark.createDataFrame([(s, sum_[-1], sum_[:-1], to) for s, (sum_, to) in placed.items()], "gsize long, n long, starts array<long>, shards array<int>")
-    ranked = _ranked(groups, "gsize", [F.col("g")], F.xxhash64("g"), runs.select("gsize", "n"), "rank")
+    ranked = _ranked(groups, "gsize", [F.col("g")], F.xxhash64("g"), runs.select("gsize", "n"), len(placed) <= BROADCAST_SIZES, "rank")
     of = ranked.join(runs.drop("n"), "gsize").select("g", F.element_at("shards", F.size(F.filter("starts", lambda s: s <= F.col("rank")))).alias("shard"))
     rows = materialize(base.join(of, "g"), "shard-of")
     per = rows.groupBy("shard").agg(F.count("*").alias("n"))
-    out = _ranked(rows, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("g")], F.xxhash64("doc_id", "text_crc32"), per, "slot")
+    out = _ranked(rows, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("g")], F.xxhash64("doc_id", "text_crc32"), per, shards <= BROADCAST_SIZES, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
