@@ -18,7 +18,7 @@ from chatloom.session import materialize
 LEVELS = ("domain", "lang", "source")
 #: Words as the corpus counts tokens: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
 
 
 def weight_of(weights: dict[str, int], key: Column, other: int = 1) -> Column:
