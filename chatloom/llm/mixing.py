@@ -53,8 +53,8 @@ def share(children: DataFrame, parent: list[str], key: str) -> DataFrame:
 def budgets(leaves: DataFrame, total: int, weights: dict[str, dict[str, int]], max_epochs: int) -> DataFrame:
     """Column ``got`` for each leaf (``domain, lang, source, tokens``) under a total budget."""
     caps = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    whole = caps.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap")).select(F.least(F.col("cap"), F.lit(total).cast("long")).alias("budget"))
-    nodes = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(whole))  # one row
+    nodes = caps.groupBy("domain").agg(F.sum("cap").alias("cap"))
+    nodes = nodes.withColumn("budget", F.least(F.sum("cap").over(Window.partitionBy(F.lit(0))), F.lit(total).cast("long")))
     parent: list[str] = []
     for level in LEVELS:
         nodes = share(nodes.withColumn("w", weight_of(weights.get(level, {}), F.col(level))), parent, level)
