@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that this driver has written with ``materialize``.
+_written: list[str] = []
+
+
 def local_session(cores: str = "*", partitions: int = 8, name: str = "chatloom") -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
     spark = (
@@ -40,4 +44,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote, once no result is read from them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
