@@ -43,7 +43,6 @@ SPARE = 1.1
 COARSE = 8
 #: Classes of a block in which components of a part are compared.
 BLOCK = 1024
-ROUNDS = 40
 #: Ids up to this number (32 MB) are broadcast to pick texts; more are joined by shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -163,21 +162,22 @@ def _verify(n: int, num: int, den: int):
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id, root``: the smallest id that links (a, b) connect each node to.
 
-    Every round takes the smallest root among a node's neighbours, then jumps to the root's
-    root; roots of all nodes are written in each round, links stay."""
+    Every round takes the smallest root among a node's neighbours, hooks the node's old root to
+    it as well, then jumps to the root's root. Hooked roots make whole trees merge, so rounds
+    grow with the logarithm of a chain's length. Roots only fall, and the rounds end when none
+    moves; roots of all nodes are written in each round, links stay."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     roots = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "roots")
-    for _ in range(ROUNDS):
+    moved = 1
+    while moved:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = roots.join(near, "id").select("id", "root", F.least("root", "near").alias("to"))
+        step = materialize(roots.join(near, "id").select("id", "root", F.least("root", "near").alias("to")), "near")
+        hooks = step.filter("to < root").groupBy(F.col("root").alias("id")).agg(F.min("to").alias("hook"))
+        step = materialize(step.join(hooks, "id", "left").select("id", "root", F.least("to", "hook").alias("to")), "hooked")
         of = step.select(F.col("id").alias("to"), F.col("to").alias("jump"))
-        new = materialize(step.join(of, "to", "left").select("id", F.col("root").alias("old"), F.least("to", "jump").alias("root")), "roots")
+        new = materialize(step.join(of, "to").select("id", F.col("root").alias("old"), F.least("to", "jump").alias("root")), "roots")
         moved = new.filter("old <> root").limit(1).count()
         roots = new.drop("old")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 

@@ -489,6 +489,14 @@ def test_filed_parts_meet_for_every_linked_pair():
         assert set(ngram_join.filed_parts(whole, num, den).tolist()) & set(ngram_join.filed_parts(other, num, den).tolist())
 
 
+def test_components_of_a_long_chain(spark):
+    ids = random.Random(11).sample(range(10**6), 1000)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    nodes = spark.createDataFrame([(i,) for i in [*ids, -5]], "id bigint")
+    got = {r["id"]: r["root"] for r in ngram_join.components(nodes, links).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {-5: -5}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs(spark, ["a b c d e f"]).limit(0)).count() == 0
 
