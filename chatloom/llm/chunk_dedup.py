@@ -4,9 +4,16 @@ A gear hash rolls over a text's bytes: every byte's random 32-bit number is adde
 shifted left by two, so it depends on the last 16 bytes only. A chunk ends where the hash is
 the least of all within REACH bytes on both sides. Ends depend on the bytes around them only,
 so an insertion changes the chunks that it touches and no others, wherever it stands. Chunks
-are deduplicated by a 128-bit digest: of equal chunks the first (by doc_id and place) stays.
-Neighbouring repeated chunks make a passage; passages of at least LEAST_BYTES are reported,
-short coincidences such as a common line are not.
+are deduplicated by a 128-bit digest: of equal chunks in several documents the first (by
+doc_id and place) stays. Neighbouring repeated chunks make a passage; passages of at least
+LEAST_BYTES are reported, short coincidences such as a common line are not.
+
+Whole chunks cover a passage only in part, and short words leave few of them. So windows of
+WORDS words are digested as well: of every SPREAD neighbouring windows the one whose gear hash
+(at its ninth word, so of bytes within it) is the least. 50 words that stand in two documents
+byte for byte hold SPREAD windows, hence one that is chosen in both. A repeated window is a
+passage by itself, and joins the repeated chunks that it overlaps. A text of fewer words is
+one window, which shows exact copies of short texts.
 
 Hash and minima are taken by doublings over whole texts: with windows of k, those of 2k are
 h[i] + (h[i-k] << 2k), and min(m[i], m[i-k]).
@@ -29,9 +36,14 @@ from chatloom.session import materialize
 REACH = 20
 #: A longer stretch without an end (equal bytes, say) is cut every MOST bytes.
 MOST = 512
-#: Bytes of a passage that counts as repeated. Of a passage, up to 56 bytes that ends depend on
-#: and parts of two chunks are not seen, so 50 words always suffice.
+#: Bytes of repeated chunks that count as a passage. Of a passage, up to 56 bytes that ends
+#: depend on and parts of two chunks are not seen, so windows of words are taken as well.
 LEAST_BYTES = 96
+#: Words of a window, and windows of which one is chosen: WORDS + SPREAD - 1 = 50 always suffice.
+WORDS, SPREAD = 25, 26
+#: The word of a window whose end gives its hash: nine words have 17 bytes or more, gear takes 16.
+NINTH = 8
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 GEAR = np.array([random.Random(20 + i).getrandbits(32) for i in range(256)], np.uint32)
 
 
@@ -67,11 +79,41 @@ def ends(data: bytes) -> np.ndarray:
     return last
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chosen windows of ``data``; words are runs of anything but ASCII
+    white space. Of equal least hashes the first counts."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff((~SPACE[raw]).astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(begin) < WORDS:
+        return begin[:1], end[-1:]
+    h = gear(raw)[end[NINTH : len(end) - WORDS + 1 + NINTH] - 1]
+    m = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
+    spread, width = min(SPREAD, len(m)), 1
+    while 2 * width <= spread:
+        m = np.minimum(m[width:], m[:-width])
+        width *= 2
+    if width < spread:
+        m = np.minimum(m[: len(m) - (spread - width)], m[spread - width :])
+    at = np.unique(m & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return begin[at], end[at + WORDS - 1]
+
+
+def digested(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Starts, ends and digests of the chosen windows. Overlapping neighbours with the same
+    digest (a line repeated on and on) are one piece, which covers them all."""
+    first, last = windows(data)
+    digests = [xxhash.xxh3_128_digest(data[s:e], 1) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+    new = np.array([i == 0 or digests[i] != digests[i - 1] or first[i] > last[i - 1] for i in range(len(digests))], bool)
+    at = np.flatnonzero(new)
+    return first[at], last[np.append(at[1:], len(new))[: len(at)] - 1], [digests[i] for i in at.tolist()]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            digests, docs, starts, sizes = [], [], [], []
+            digests, docs, starts, sizes, words = [], [], [], [], []
             for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 if d is None or not data:
@@ -79,44 +121,52 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 upto = ends(data)
                 begin = np.concatenate(([0], upto[:-1]))
                 digests += [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(begin.tolist(), upto.tolist(), strict=True)]
-                docs.append(np.full(len(upto), d, np.int64))
-                starts.append(begin)
-                sizes.append(upto - begin)
+                first, last, found = digested(data)
+                digests += found
+                docs.append(np.full(len(upto) + len(first), d, np.int64))
+                starts += [begin, first]
+                sizes += [upto - begin, last - first]
+                words += [np.zeros(len(upto), bool), np.ones(len(first), bool)]
             if docs:
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32))], ["hi", "lo", "doc_id", "start", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(words))], ["hi", "lo", "doc_id", "start", "size", "words"])
 
 
-def chunks(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``hi, lo, doc_id, start, size``: every chunk of every row, in bytes, with its digest."""
+def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``hi, lo, doc_id, start, size, words``: every chunk and (``words``) every chosen window
+    of every row, in bytes, with its digest."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_chunk, "hi long, lo long, doc_id long, start long, size int")
+    return rows.mapInArrow(_pieces, "hi long, lo long, doc_id long, start long, size int, words boolean")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_BYTES) -> DataFrame:
     """One row for each passage that stands in other documents as well: ``doc_id, start_byte,
     end_byte, chunks, first_chunks, copies, first_doc_id``.
 
-    A passage is a run of neighbouring chunks that occur in more than one document, of
-    ``least`` bytes or more. ``first_chunks`` counts those whose first occurrence (smallest
-    doc_id, then place) this is; they stay when duplicates go, the others would be removed.
-    ``copies`` is the largest number of occurrences of one of its chunks, ``first_doc_id`` the
+    A passage is a run of neighbouring or overlapping pieces (chunks, windows of words) that
+    occur in more than one document, of ``least`` bytes or more or with a window. Every passage
+    of 50 words that another document has byte for byte is covered in part at least, and every
+    exact copy of a text with words. ``chunks`` counts the pieces, ``first_chunks`` those whose
+    first occurrence (smallest doc_id, then place) this is; they stay when duplicates go, the
+    others would be removed.
+    ``copies`` is the largest number of occurrences of one of its pieces, ``first_doc_id`` the
     smallest document that has one. Null and empty texts and null doc_ids have no chunks; rows
     with the same doc_id are one document, whose chunks at the same place and of the same
     digest count once; an empty table gives no rows; other columns are ignored.
     """
-    every = chunks(docs, text, doc_id)
+    every = pieces(docs, text, doc_id)
     seen = every.groupBy("hi").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hi")
     held = materialize(every.join(seen, "hi"), "repeated-chunks")
     first = F.min(F.struct("doc_id", "start"))
     seen = held.groupBy("hi", "lo").agg(F.count("*").alias("copies"), first.alias("first"), F.max("doc_id").alias("b")).filter("first.doc_id < b").drop("b")
-    held = held.join(seen, ["hi", "lo"]).dropDuplicates(["doc_id", "start", "size", "hi", "lo"])
-    at = Window.partitionBy("doc_id").orderBy("start", "size", "hi", "lo")
-    held = held.withColumn("new", F.when(F.lag(F.col("start") + F.col("size")).over(at) >= F.col("start"), 0).otherwise(1))
+    held = held.join(seen, ["hi", "lo"]).dropDuplicates(["doc_id", "start", "size", "hi", "lo", "words"])
+    at = Window.partitionBy("doc_id").orderBy("start", "size", "hi", "lo", "words")
+    before = F.max(F.col("start") + F.col("size")).over(at.rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
     held = held.withColumn("run", F.sum("new").over(at))
     own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start"))
     runs = held.groupBy("doc_id", "run").agg(
         F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.count("*").alias("chunks"),
-        F.count_if(own).alias("first_chunks"), F.max("copies").alias("copies"), F.min("first.doc_id").alias("first_doc_id"),
+        F.count_if(own).alias("first_chunks"), F.max("copies").alias("copies"), F.min("first.doc_id").alias("first_doc_id"), F.bool_or("words").alias("words"),
     )
-    return runs.filter(F.col("end_byte") - F.col("start_byte") >= least).drop("run")
+    return runs.filter((F.col("end_byte") - F.col("start_byte") >= least) | F.col("words")).drop("run", "words")

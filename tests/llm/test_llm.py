@@ -152,6 +152,29 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
     assert chunk_dedup.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_fifty_short_words_and_short_copies_are_found(spark):
+    rng = random.Random(21)
+
+    def words(n, longest):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, longest))) for _ in range(n))
+
+    texts = []
+    for _ in range(200):
+        shared = words(50, 3)
+        texts += [f"{words(60, 9)} {shared} {words(60, 9)}" for _ in range(2)]
+    texts += ["a short copy", "a short copy", "a short text", " \n"]
+    out = chunk_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert {r["doc_id"] for r in out} == set(range(402))
+    assert all(r["first_doc_id"] == r["doc_id"] // 2 * 2 for r in out)
+    assert all(r["first_chunks"] == (0 if r["doc_id"] % 2 else r["chunks"]) for r in out)
+
+
+def test_periodic_texts_have_few_windows():
+    data = b"to be or " * 3000
+    first, last, found = chunk_dedup.digested(data)
+    assert len(set(found)) == len(found) <= 3 and first[0] < 60 and last[-1] > len(data) - 200
+
+
 # --- 4: mixing
 
 
