@@ -13,6 +13,7 @@ nor collected, and all but the windows that may hit end in the scan's own stage.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ MARGIN = 8
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: Items of fewer words are no evidence of a leak.
 LEAST_ITEM = 5
+#: Items of fewer words have seeds of their own: MASKS miss some overlaps that count, such as an
+#: item of eight words without its first. From 11 to 13 words they miss none.
+SHORT_ITEM = 11
 #: Windows of one block: bounds what is broadcast (some 100 MB at most).
 BLOCK_WINDOWS = 400_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -37,6 +41,23 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def enough(n: int) -> int:
+    """Equal words that an item of ``n`` words needs."""
+    return math.ceil(min(n, LEAST_WORDS) * LEAST_SHARE)
+
+
+def short_seeds(n: int) -> list[tuple[str, int]]:
+    """Masks, and where each lies, for an item of ``n`` words: the item falls in two parts more
+    than words may differ, and each two parts are a seed, so one is left whole. Masks begin and
+    end with 1, so words that a document's end cuts off are left out as well."""
+    parts = n - enough(n) + 2
+    out = []
+    for two in combinations(range(parts), 2):
+        bits = "".join("1" if i * parts // n in two else "0" for i in range(n))
+        out.append((bits.strip("0"), bits.index("1")))
+    return out
+
+
 def _key(hashes: str, at: str, number: int, mask: str) -> str:
     """SQL for the hash of the window at ``at`` under a mask."""
     return f"xxhash64({number}, " + ", ".join(f"get({hashes}, {at} + {i})" for i, bit in enumerate(mask) if bit == "1") + ")"
@@ -47,15 +68,16 @@ def _keys(hashes: str, size: str, at: str, masks: list[str]) -> str:
     return "array(" + ", ".join(f"CASE WHEN {at} + {len(m)} <= {size} THEN {_key(hashes, at, k, m)} END" for k, m in enumerate(masks)) + ")"
 
 
-def _windows(items: DataFrame, masks: list[str], shortest: int) -> DataFrame:
+def _windows(items: DataFrame, masks: list[str], places: dict[str, list[tuple[int, int]]]) -> DataFrame:
     """Every window of every item under every mask that may seed it: ``key, item_id, item, at,
-    span``. An item shorter than the shortest of MASKS is seeded by all its words."""
+    span``. A mask of ``places`` seeds only items of the sizes and at the words listed there."""
     at = items.select("item_id", "item", F.size("item").alias("n"), F.explode(F.expr("sequence(0, size(item) - 1)")).alias("at"))
     keys = at.select("item_id", "item", "n", "at", F.posexplode(F.expr(_keys("item", "n", "at", masks))).alias("mask", "key")).filter("key IS NOT NULL")
-    whole = F.element_at(F.array(*[F.lit(set(m) == {"1"}) for m in masks]), F.col("mask") + 1)
     span = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
-    keys = keys.withColumn("span", span).filter(~whole | ((F.col("n") == F.col("span")) & (F.col("n") < shortest)))
-    return keys.select("key", "item_id", "item", "at", "span")
+    for k, m in enumerate(masks):
+        if m in places:
+            keys = keys.filter(f"mask <> {k} OR (n, at) IN ({', '.join(f'({n}, {i})' for n, i in places[m])})")
+    return keys.withColumn("span", span).select("key", "item_id", "item", "at", "span")
 
 
 def _bitmap(windows: DataFrame, count: int) -> tuple[Column, int]:
@@ -83,15 +105,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     """
     shortest = min(map(len, masks))
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).filter(F.size("item") >= LEAST_ITEM).dropDuplicates(["item_id", "item"])
-    short = [r["n"] for r in items.filter(F.size("item") < shortest).select(F.size("item").alias("n")).distinct().collect()]
-    masks_ = [*masks, *("1" * n for n in sorted(short))]
+    short = [r["n"] for r in items.filter(F.size("item") < max(SHORT_ITEM, shortest)).select(F.size("item").alias("n")).distinct().collect()]
+    places: dict[str, list[tuple[int, int]]] = {}
+    for n in sorted(short):
+        for mask, at in short_seeds(n):
+            if mask not in masks:
+                places.setdefault(mask, []).append((n, at))
+    masks_ = [*masks, *places]
     total = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0] * len(masks_)
     blocks = max(1, math.ceil(total / block_windows))
     words = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
     found = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        windows = _windows(part, masks_, shortest).persist()
+        windows = _windows(part, masks_, places).persist()
         hits = _hits(words, windows, masks_, windows.count())
         found = hits if found is None else found.unionByName(hits)
     best = F.struct(F.col("matched_words"), (-F.col("doc_word")).alias("d"), F.col("compared_words"), F.col("item_words"))
@@ -117,5 +144,5 @@ def _hits(words: DataFrame, windows: DataFrame, masks: list[str], count: int) ->
     theirs = F.expr("slice(item, from + 1, upto - from)")
     hit = hit.withColumn("matched_words", F.size(F.filter(F.zip_with(ours, theirs, lambda a, b: a == b), lambda same: same)))
     hit = hit.withColumns({"item_words": F.size("item"), "doc_word": F.col("pos") - F.col("at"), "compared_words": F.col("upto") - F.col("from")})
-    enough = F.ceil(F.least(F.col("item_words"), F.lit(LEAST_WORDS)) * LEAST_SHARE)
-    return hit.filter(F.col("matched_words") >= enough).select("doc_id", "item_id", "doc_word", "matched_words", "compared_words", "item_words")
+    least = F.ceil(F.least(F.col("item_words"), F.lit(LEAST_WORDS)) * LEAST_SHARE)
+    return hit.filter(F.col("matched_words") >= least).select("doc_id", "item_id", "doc_word", "matched_words", "compared_words", "item_words")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -452,6 +453,24 @@ def test_any_substitution_leaves_a_window():
         assert any(at < s or at >= s + span or m[at - s] == "0" for s in range(2) for m in decontaminate.MASKS)
 
 
+def test_every_accepted_pattern_of_short_items_has_a_seed(spark):
+    rng = random.Random(13)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(5, 14)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for change in combinations(range(n), n - decontaminate.enough(n)):
+            around = prose(rng, 4, 10**6)
+            want.add((len(texts), n))
+            texts.append(" ".join([around, *("other" if i in change else w for i, w in enumerate(item)), around]))
+            if n < 13 and change == tuple(range(len(change))):  # the text begins within the item
+                want.add((len(texts), n))
+                texts.append(" ".join(item[len(change) :]))
+        texts.append(" ".join([prose(rng, 9, 10**6), *item[: decontaminate.enough(n) - 1], prose(rng, 9, 10**6)]))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert out == want
+
+
 # --- 10: n-gram Jaccard join
 
 
