@@ -3,11 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all
 but the last return the columns of ``documents``. Between stages the rows are written as
 Parquet in the shared folder and read again. Decisions come back to the texts as sets of
-doc_ids, broadcast while their counted number is small, so texts aren't shuffled.
+doc_ids, broadcast while their counted number is small, so texts aren't shuffled. Where a
+doc_id is null or repeated, rows are numbered first and decided on one by one; only rows that
+are equal in all columns are dropped as repeated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,20 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return ngram_join.pick(docs.withColumnRenamed("doc_id", "id"), ids.toDF("id"), how).withColumnRenamed("id", "doc_id").select(docs.columns)
 
 
+def _rows(docs: DataFrame, once: bool = False) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with a doc_id of its own for each row, and what gives rows their doc_id back.
+
+    Unique ids stay. If one is repeated or null, all rows are numbered in the order of doc_id
+    (null ones last) and text, after equal rows were dropped if ``once``."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs, lambda out: out
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = (docs.dropDuplicates() if once else docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    named = rows.withColumnsRenamed({"doc_id": "__id", "__row": "doc_id"})
+    return named, lambda out: out.drop("doc_id").withColumnRenamed("__id", "doc_id").select(docs.columns)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (poor or toxic) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,23 +51,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once."""
+    """Of each group of near copies the row with the smallest doc_id stays; of equal rows one."""
+    docs, named = _rows(docs, once=True)
     found = materialize(ngram_join.jaccard_components(docs, SHINGLE, NUM, DEN), "components")
-    out = _by_id(docs, found.filter("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return named(_by_id(docs, found.filter("doc_id <> component_id").select("doc_id"), "left_anti"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _by_id(docs, decontaminate.find_leaks(docs, benchmark).select("doc_id").distinct(), "left_anti")
+    docs, named = _rows(docs)
+    return named(_by_id(docs, decontaminate.find_leaks(docs, benchmark).select("doc_id").distinct(), "left_anti"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the target weights take, whole, each once."""
+    docs, named = _rows(docs)
     taken = mixing.mix(docs, SHARE, queries.MIX_WEIGHTS, F.expr(queries.DOMAIN_SQL), queries.MIX_SEED, max_epochs=1)
-    return _by_id(docs, taken.select("doc_id").distinct(), "left_semi")
+    return named(_by_id(docs, taken.select("doc_id").distinct(), "left_semi"))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -578,3 +578,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[4] < kept[3] and kept[5] == kept[4]
     assert leak in kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[5])
+
+
+def test_pipeline_decides_on_rows_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a, b, c, d, e, item = (prose(rng, 40, 10**6) for _ in range(6))
+    leak = f"{prose(rng, 20, 10**6)} {item}"
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, a), (1, b), (1, b), (2, c), (5, f"{b} end"), (5, leak), (5, e), (None, d), (None, f"{c} end"), (None, leak + " x"), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+    def held(out):
+        assert out.columns == df.columns
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    out = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert held(out) == Counter([(1, a), (1, b), (2, c), (5, leak), (5, e), (None, d), (None, None)])
+    out = corpus_pipeline.decontamination(spark, out, str(tmp_path))
+    assert held(out) == Counter([(1, a), (1, b), (2, c), (5, e), (None, d), (None, None)])
+    many = spark.createDataFrame([(i % 3 or None, prose(rng, 50, 10**6), "en", "s", 0) for i in range(100)], DOCS)
+    taken = corpus_pipeline.mixture(spark, many, str(tmp_path)).collect()
+    assert len(taken) == 80 and {r["doc_id"] for r in taken} == {None, 1, 2}
