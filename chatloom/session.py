@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Paths that this driver has written with ``materialize``.
-_written: list[str] = []
+#: Paths that this driver has written with ``materialize``, and the table read from each.
+_written: dict[str, weakref.ref] = {}
+#: The folder of a session without a shared one.
+_own = ""
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "chatloom") -> SparkSession:
@@ -29,12 +33,14 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "chatloom")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary folder serves sessions
+    whose driver and executors are one process (tests); a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="chatloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        global _own
+        _own = where = _own or tempfile.mkdtemp(prefix="chatloom-")
     return where.rstrip("/")
 
 
@@ -44,13 +50,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = weakref.ref(out)
+    return out
 
 
-def clear_materialized(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote, once no result is read from them any more."""
+def _delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+    _written.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once all that reads them is written itself."""
+    for path, table in list(_written.items()):
+        if any(table() is t for t in tables):
+            _delete(tables[0].sparkSession, path)
+
+
+def clear_materialized(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables that ``materialize`` wrote, but for those to ``keep``, once no result
+    is read from them any more."""
+    for path, table in list(_written.items()):
+        if not any(table() is t for t in keep):
+            _delete(spark, path)
