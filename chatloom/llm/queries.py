@@ -87,12 +87,14 @@ def _weights_sql(level: str) -> str:
     return f"CASE {cases} ELSE 1 END" if cases else "1"
 
 
-MIX_SQL = f"""
+def mix_sql() -> str:
+    """The mixture under MIX_WEIGHTS in SQL."""
+    return f"""
     WITH d AS (
       SELECT doc_id, {DOMAIN_SQL} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
              len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::HUGEINT AS n_tokens
       FROM documents),
-    leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {MIX_EPOCHS} AS cap FROM d WHERE n_tokens > 0 GROUP BY ALL),
+    leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, CASE WHEN {" AND ".join(f"{_weights_sql(x)} > 0" for x in mixing.LEVELS)} THEN sum(n_tokens) * {MIX_EPOCHS} ELSE 0 END AS cap FROM d WHERE n_tokens > 0 GROUP BY domain, lang, source),
     {_share_sql("dom", f"SELECT domain, sum(cap) AS cap, {_weights_sql('domain')} AS w0, (SELECT least(sum(cap), (SELECT sum(n_tokens) FROM d)) FROM leaf) AS budget FROM leaf GROUP BY domain", "", "domain")},
     {_share_sql("lan", f"SELECT leaf.domain, lang, sum(leaf.cap) AS cap, {_weights_sql('lang')} AS w0, any_value(got) AS budget FROM leaf JOIN dom ON leaf.domain = dom.domain GROUP BY leaf.domain, lang", "domain", "lang")},
     {_share_sql("src", f"SELECT leaf.domain, leaf.lang, source, leaf.cap AS cap, {_weights_sql('source')} AS w0, got AS budget FROM leaf JOIN lan ON leaf.domain = lan.domain AND leaf.lang = lan.lang", "domain, lang", "source")},
@@ -108,7 +110,7 @@ MIX_SQL = f"""
     """
 
 
-@query("op4_mixing", MIX_SQL)
+@query("op4_mixing", mix_sql())
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_SHARE, MIX_WEIGHTS, F.expr(DOMAIN_SQL), MIX_SEED, MIX_EPOCHS)
 
