@@ -13,7 +13,6 @@ import json
 import re
 import struct
 import sys
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,15 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm import rans
-from chatloom.session import materialize
+from chatloom.session import discard, materialize
 
-MAGIC = b"RANSTOK1"
+MAGIC = b"RANSTOK2"
 HEAD = struct.Struct("<8sIIQQI")
 #: A file ends with the document that fills it.
 FILE_TOKENS = 16 * rans.BLOCK
-#: Units of text whose ids a worker remembers.
-CACHE = 500_000
-BUCKETS = 1024
+#: Bytes of units and ids that a worker remembers (twice, as the last lot stays at hand), and
+#: the letters of the longest unit that it does.
+CACHE_BYTES, LONG = 100_000_000, 256
+#: Bits of a row's number within its range partition.
+ROW_BITS = 33
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,6 +73,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {p: self._piece(p) for p in ".,;:!?\n"}
         self.edges: dict[str, bytes] = {}  # units with white space at an end
+        self.held = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -86,29 +88,37 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         known = self.ids.get(word) or self.old.get(word)
-        if known is None:
-            known = self.ids[word] = self._piece(" " + word)
-        return known
+        return known if known is not None else self._keep(self.ids, word, self._piece(" " + word))
 
-    def _learn(self, units: set[str]) -> None:
-        rest = []
+    def _keep(self, where: dict[str, bytes], unit: str, ids: bytes) -> bytes:
+        if len(unit) <= LONG:
+            where[unit] = ids
+            self.held += 100 + sys.getsizeof(unit) + sys.getsizeof(ids)
+        return ids
+
+    def _learn(self, units: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of units that aren't remembered, and of those among them with white space at an end."""
+        out, edges, rest = {}, {}, []
         for u in units:
             if (known := self.old.get(u)) is not None:
-                self.ids[u] = known
+                out[u] = known
             elif u.isalpha() and max(u) < "ɐ":
-                self.ids[u] = self._piece(" " + u)
+                out[u] = self._piece(" " + u)
             elif u and max(u) < "ɐ" and (m := SIMPLE.fullmatch(u)):
                 word, mark, second, end = m.groups()
-                out = self._word(word)
+                out[u] = self._word(word)
                 if mark:
-                    out += self.pieces[mark]
+                    out[u] += self.pieces[mark]
                 if second:
-                    out += self.pieces["\n"] + self._piece(second) + (self.pieces[end] if end else b"")
-                self.ids[u] = out
+                    out[u] += self.pieces["\n"] + self._piece(second) + (self.pieces[end] if end else b"")
             else:
                 rest.append(u)
         for u, e in zip(rest, self.whole.encode_batch_fast([" " + u for u in rest], add_special_tokens=False), strict=True):
-            (self.edges if not u or u[0].isspace() or u[-1].isspace() else self.ids)[u] = self._pack(e.ids)
+            (edges if not u or u[0].isspace() or u[-1].isspace() else out)[u] = self._pack(e.ids)
+        for found, where in ((out, self.ids), (edges, self.edges)):
+            for u, ids in found.items():
+                self._keep(where, u, ids)
+        return out, edges
 
     def encode(self, text: str) -> bytes:
         if not self.apart or not text:
@@ -116,15 +126,15 @@ class Encoder:
         head, *units = text.split(" ")
         body = list(map(self.ids.get, units))
         if None in body:
-            if len(self.ids) > CACHE:  # what was used since the last time stays at hand
-                self.old, self.ids, self.edges = self.ids, {}, {}
+            if self.held > CACHE_BYTES:  # what was used since the last time stays at hand
+                self.old, self.ids, self.edges, self.held = self.ids, {}, {}, 0
                 body = [None] * len(units)
             gaps = [i for i, b in enumerate(body) if b is None]
-            self._learn({units[i] for i in gaps if units[i] not in self.edges})
+            fresh, edges = self._learn({units[i] for i in gaps if units[i] not in self.edges})
             meets = False
             for i in gaps:
-                if (known := self.ids.get(units[i])) is None:
-                    known, meets = self.edges[units[i]], True
+                if (known := fresh.get(units[i])) is None:
+                    known, meets = edges[units[i]] if units[i] in edges else self.edges[units[i]], True
                 body[i] = known
             if meets and _meets(head, units):
                 return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
@@ -148,6 +158,8 @@ def encoder(path: str) -> Encoder:
 
 
 def _tokenize(path: str, end: int):
+    """Batches of (doc_id, text, row) to (doc_id, row, ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         tail = e._pack([end])
@@ -155,7 +167,7 @@ def _tokenize(path: str, end: int):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 out = [e.encode(t.as_py() or "") + tail for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], ["doc_id", "h", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], ["doc_id", "row", "ids"])
 
     return run
 
@@ -173,7 +185,11 @@ def _count(kind: str, size: int):
     return run
 
 
-def write_file(docs: list[tuple[int, np.ndarray]], table: rans.Table) -> bytes:
+#: A document in the index: its doc_id, whether that is null, its tokens.
+INDEX = [("doc", "<i8"), ("null", "u1"), ("n", "<u8")]
+
+
+def write_file(docs: list[tuple[int | None, np.ndarray]], table: rans.Table) -> bytes:
     """One file of documents (doc_id, ids), in this order."""
     ids = np.concatenate([d[1] for d in docs]).astype(np.int64) if docs else np.empty(0, np.int64)
     full, rest = divmod(len(ids), rans.BLOCK)
@@ -189,20 +205,20 @@ def write_file(docs: list[tuple[int, np.ndarray]], table: rans.Table) -> bytes:
     for i in range(blocks):
         part = raw[i * rans.BLOCK : (i + 1) * rans.BLOCK]
         checks[i] = (i * rans.BLOCK, int(counts[:i].sum()), counts[i], len(part), zlib.crc32(part.tobytes()))
-    index = np.array([(d, len(x)) for d, x in docs], [("doc", "<i8"), ("n", "<u8")])
+    index = np.array([(d or 0, d is None, len(x)) for d, x in docs], INDEX)
     body = b"".join([HEAD.pack(MAGIC, rans.SCALE, blocks, len(ids), len(docs), rans.LANES), index.tobytes(), checks.tobytes(), *[p[0].astype("<u8").tobytes() for p in parts], *[p[1].astype("<u4").tobytes() for p in parts]])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
 def read_file(blob: bytes, table: rans.Table, blocks: range | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The index (doc, n) and the ids; with ``blocks`` the ids of those blocks only. Raises
+    """The index (doc, null, n) and the ids; with ``blocks`` the ids of those blocks only. Raises
     ValueError where a checksum fails."""
     if len(blob) < HEAD.size + 4 or zlib.crc32(blob[:-4]) != struct.unpack("<I", blob[-4:])[0]:
         raise ValueError("the file's checksum fails")
     magic, scale, n_blocks, tokens, docs, lanes = HEAD.unpack_from(blob)
     if (magic, scale, lanes) != (MAGIC, rans.SCALE, rans.LANES):
         raise ValueError("not a token file of this format")
-    index = np.frombuffer(blob, [("doc", "<i8"), ("n", "<u8")], docs, HEAD.size)
+    index = np.frombuffer(blob, INDEX, docs, HEAD.size)
     at = HEAD.size + index.nbytes
     checks = np.frombuffer(blob, [("first", "<u8"), ("word", "<u8"), ("words", "<u4"), ("tokens", "<u4"), ("crc", "<u4")], n_blocks, at)
     at += checks.nbytes
@@ -222,86 +238,93 @@ def read_file(blob: bytes, table: rans.Table, blocks: range | None = None) -> tu
 
 
 def _write(kind: str, freq: bytes):
+    """Batches of (doc_id, row, ids) to files. A file ends where it is full, and where a row
+    isn't the next of the one before: rows of one range partition may be read in parts, and parts
+    of several in any order, but a file never spans what lies between."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(np.frombuffer(freq, np.int64))
-        docs, first, held, last = [], None, 0, None
+        docs, held, last = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            row = [uuid.uuid4().hex, *first, *last, len(docs), held, write_file(docs, table)]
+            row = [last - len(docs) + 1, last, held, write_file(docs, table)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, TYPES, strict=True)], NAMES)
 
         for b in batches:
-            for d, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if last is not None and (d, h) < last:  # another sorted run of rows begins
+            for d, row, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if docs and (row != last + 1 or held >= FILE_TOKENS):
                     yield flush()
-                    docs, first, held = [], None, 0
+                    docs, held = [], 0
                 ids = np.frombuffer(x.as_py(), kind)
                 docs.append((d, ids))
-                first, last, held = first or (d, h), (d, h), held + len(ids)
-                if held >= FILE_TOKENS:
-                    yield flush()
-                    docs, first, held, last = [], None, 0, None
+                last, held = row, held + len(ids)
         if docs:
             yield flush()
 
     return run
 
 
-NAMES = ["file", "first_doc", "first_h", "last_doc", "last_h", "docs", "tokens", "blob"]
-TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+NAMES = ["first_row", "last_row", "tokens", "blob"]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _read(freq: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(np.frombuffer(freq, np.int64))
         for b in batches:
-            for file, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for first, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 index, ids = read_file(blob.as_py(), table)
                 ends = np.cumsum(index["n"].astype(np.int64))
                 starts = ends - index["n"].astype(np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(index), pa.string()), pa.array(index["doc"].astype(np.int64)), pa.array(starts), pa.array(index["n"].astype(np.int64)), pa.array(crcs, pa.int64())], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+                doc = pa.array(index["doc"].astype(np.int64), mask=index["null"].astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array([first] * len(index), pa.int64()), doc, pa.array(starts), pa.array(index["n"].astype(np.int64)), pa.array(crcs, pa.int64())], ["first_row", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Encode ``docs`` into token files; returns the files (one row each) and the shared
-    frequency table (``id, freq``), both as written in the shared folder.
+    """Encode ``docs`` into token files; returns the files (one row each: ``first_row, last_row,
+    tokens, blob``) and the shared frequency table (``id, freq``), both as written in the shared
+    folder. Rows are numbered by range partition and place in it, so the files' rows are disjoint
+    and ascend as the documents do.
 
     Texts (null ones as empty) are encoded by the tokenizer in the file ``tokenizer`` without
-    special tokens, and each ends with the id ``end``. Rows go in ascending doc_id order, those
-    with the same doc_id by a hash of their text; each repeated row is written. An empty
-    table gives no file; doc_id must not be null; other columns are ignored. The frequencies
-    are of all tokens."""
+    special tokens, and each ends with the id ``end``. Rows go in ascending doc_id order, null
+    ones last, those with the same doc_id by a hash of their text; each repeated row is
+    written. An empty table gives no file; other columns are ignored. The frequencies are of
+    all tokens."""
     spark = docs.sparkSession
     size = encoder(tokenizer).size
     kind = encoder(tokenizer).kind.str
+    order = [F.col("doc_id").asc_nulls_last(), F.col("h")]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ids = rows.mapInArrow(_tokenize(tokenizer, end), "doc_id long, h long, ids binary")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    ids = rows.mapInArrow(_tokenize(tokenizer, end), "doc_id long, row long, ids binary")
     ids = materialize(ids, "token-ids")
     counts = np.zeros(size, np.int64)
     for r in ids.select("ids").mapInArrow(_count(kind, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id at most
         counts[r["id"]] = r["n"]
     freq = rans.quantize(counts)
     table = materialize(spark.createDataFrame(list(enumerate(freq.tolist())), "id long, freq long"), "token-frequencies")
-    files = ids.mapInArrow(_write(kind, freq.tobytes()), "file string, first_doc long, first_h long, last_doc long, last_h long, docs long, tokens long, blob binary")
-    return materialize(files, "token-files"), table
+    files = materialize(ids.mapInArrow(_write(kind, freq.tobytes()), "first_row long, last_row long, tokens long, blob binary"), "token-files")
+    discard(ids)
+    return files, table
 
 
 def read_tokens(files: DataFrame, table: DataFrame) -> DataFrame:
     """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32``, decoded and
-    checked. ``start`` counts the tokens of all documents before."""
+    checked. ``start`` counts the tokens of all documents before. Files that overlap or leave
+    rows of a range partition out are an error."""
     freq = np.array([r["freq"] for r in sorted(table.collect())], np.int64).tobytes()  # a row for each id
-    order = ["first_doc", "first_h", "last_doc", "last_h", "file"]
-    edge = files.agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).first()
-    width = max(1, ((edge["hi"] or 0) - (edge["lo"] or 0)) // BUCKETS + 1)
-    meta = files.select(*order, "tokens").withColumn("bucket", F.floor((F.col("first_doc") - F.lit(edge["lo"] or 0)) / width))
-    sums = meta.groupBy("bucket").agg(F.sum("tokens").alias("held"))
-    before = lambda w: F.coalesce(F.sum(w[0]).over(w[1].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("bucket", before(("held", Window.partitionBy(F.lit(0)).orderBy("bucket"))).alias("base"))  # at most BUCKETS + 1 rows
-    meta = meta.select("file", "bucket", before(("tokens", Window.partitionBy("bucket").orderBy(*order))).alias("off")).join(sums, "bucket")
-    docs = files.select("file", "blob").mapInArrow(_read(freq), "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return docs.join(meta.select("file", (F.col("off") + F.col("base")).alias("off")), "file").select("doc_id", (F.col("off") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    meta = files.select("first_row", "last_row", "tokens", F.shiftright("first_row", ROW_BITS).alias("part"))
+    sums = meta.groupBy("part").agg(F.sum("tokens").alias("held"))
+    before = lambda name, at: F.coalesce(F.sum(name).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before("held", Window.partitionBy(F.lit(0)).orderBy("part")).alias("base"))  # a row for each range partition
+    at = Window.partitionBy("part").orderBy("first_row", "last_row")
+    next_row = F.coalesce(F.lag("last_row").over(at) + 1, F.shiftleft("part", ROW_BITS))
+    meta = meta.select("first_row", "part", before("tokens", at).alias("off"), next_row.alias("next")).join(sums, "part")
+    off = F.when(F.col("first_row") == F.col("next"), F.col("off") + F.col("base")).otherwise(F.raise_error(F.lit("token files overlap or are missing")).cast("long"))
+    docs = files.select("first_row", "blob").mapInArrow(_read(freq), "first_row long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return docs.join(meta.select("first_row", off.alias("off")), "first_row").select("doc_id", (F.col("off") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

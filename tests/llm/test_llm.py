@@ -223,6 +223,33 @@ def test_mixture_takes_exact_totals(spark):
     assert mixing.mix(df.limit(0), 0.5, w, domain).count() == 0
 
 
+def test_what_a_weight_of_zero_shuts_out_goes_to_siblings(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, words(100), "en", "A"), (2, words(10), "de", "A"), (3, words(100), "de", "B")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for weights, want in (({"lang": {"en": 0}}, {2: 10, 3: 90}), ({"source": {"A": 0}}, {3: 100}), ({"domain": {"A": 0}, "lang": {"de": 2}}, {3: 100}), ({"lang": {"en": 0, "de": 0}}, {}), ({"lang": {"en": -1}}, {2: 10, 3: 90})):
+        out = mixing.mix(df, 100, weights, F.col("source")).collect()
+        assert {r["doc_id"]: r["take_tokens"] for r in out} == want
+
+
+def test_mixture_sql_shuts_out_weights_of_zero(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from chatloom.llm import queries
+
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(400)]
+    df = docs(spark, texts)
+    weights = {"domain": {"web": 2, "reference": 5, "forum": 0}, "lang": {"en": 0, "de": 2}}
+    monkeypatch.setattr(queries, "MIX_WEIGHTS", weights)
+    documents = df.toArrow()  # noqa: F841  (read by name)
+    sql = queries.mix_sql()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    out = mixing.mix(df, queries.MIX_SHARE, weights, F.expr(queries.DOMAIN_SQL), queries.MIX_SEED, queries.MIX_EPOCHS)
+    want = con.sql(sql)
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in out.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_prefix_is_the_seeded_order(spark):
     df = docs(spark, ["a b c"] * 50).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
     out = sorted(r["doc_id"] for r in mixing.mix(df, 31, {}, F.lit("d"), seed=4).collect())
@@ -282,6 +309,58 @@ def test_token_files_over_documents(spark, tokenizer):
     assert token_files.read_tokens(files, freq).count() == 0
 
 
+def by_running_sum(spark, tokenizer, rows):
+    """Rows (doc_id, text) through token files, and what a plain loop gives."""
+    e, at, want = token_files.encoder(tokenizer), 0, []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        ids = [*e.whole.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    files, freq = token_files.write_tokens(df, tokenizer)
+    return files, freq, [tuple(r) for r in token_files.read_tokens(files, freq).collect()], want
+
+
+APART = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+
+@pytest.mark.parametrize("conf", [APART, APART | {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}, APART | {"spark.sql.files.maxRecordsPerFile": "5"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}])
+def test_token_files_however_parts_are_packed(spark, tokenizer, conf):
+    rng = random.Random(9)
+    rows = [(i * 3, prose(rng, rng.choice([1, 3, 10, 200]))) for i in range(400)]
+    rng.shuffle(rows)
+    old = {k: spark.conf.get(k, None) for k in [*conf, "spark.sql.shuffle.partitions"]}
+    try:
+        for k, v in ({"spark.sql.shuffle.partitions": "37"} | conf).items():
+            spark.conf.set(k, v)
+        files, freq, got, want = by_running_sum(spark, tokenizer, rows)
+        assert sorted(got) == want and files.count() > (2 if APART.items() <= conf.items() else 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    with pytest.raises(Exception, match="overlap or are missing"):
+        token_files.read_tokens(files.unionByName(files.limit(1)), freq).collect()
+
+
+def test_token_files_of_null_and_repeated_ids(spark, tokenizer):
+    rows = [(None, "no id"), (-5, "below"), (7, "same"), (7, "same"), (None, None), (0, "zero"), (2**62, "far")]
+    _, _, got, want = by_running_sum(spark, tokenizer, rows)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert [r[0] for r in sorted(got, key=lambda r: r[1])] == [r[0] for r in want]
+    assert sorted((r[2:] for r in got)) == sorted(r[2:] for r in want) and len({r[1] for r in got}) == 7
+    assert [r[1] for r in sorted(got, key=lambda r: (key(r), r[1]))][:5] == [r[1] for r in want][:5]
+
+
+def test_memory_of_units_is_bounded_by_bytes(tokenizer, monkeypatch):
+    e = token_files.Encoder(tokenizer)
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    rng = random.Random(2)
+    for i in range(300):
+        t = " ".join(["漢字" * rng.randint(1, 400), f"word{i}", "x\n", prose(rng, 5)])
+        assert np.frombuffer(e.encode(t), e.kind).tolist() == e.whole.encode(t, add_special_tokens=False).ids
+        assert sum(len(u) + len(x) for m in (e.ids, e.old, e.edges) for u, x in m.items()) < 60_000
+
+
 # --- 6: sharding
 
 
