@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.session import materialize
+from chatloom.session import discard, materialize
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A band's largest size is this many times its smallest.
@@ -173,12 +173,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = materialize(roots.join(near, "id").select("id", "root", F.least("root", "near").alias("to")), "near")
         hooks = step.filter("to < root").groupBy(F.col("root").alias("id")).agg(F.min("to").alias("hook"))
-        step = materialize(step.join(hooks, "id", "left").select("id", "root", F.least("to", "hook").alias("to")), "hooked")
+        hooked = materialize(step.join(hooks, "id", "left").select("id", "root", F.least("to", "hook").alias("to")), "hooked")
+        discard(step, roots)
+        step = hooked
         of = step.select(F.col("id").alias("to"), F.col("to").alias("jump"))
         new = materialize(step.join(of, "to").select("id", F.col("root").alias("old"), F.least("to", "jump").alias("root")), "roots")
         moved = new.filter("old <> root").limit(1).count()
-        roots = new.drop("old")
-    return nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        discard(step)
+        roots = new
+    return nodes.join(roots.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def _sketch(n: int):
@@ -205,21 +208,26 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least("n", "cn") * den >= F.greatest("n", "cn") * num) & (differ <= F.floor((F.col("n") + F.col("cn")) * (den - num) / (den + num)))
 
 
-def link_classes(classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``id, root`` for classes ``id, text`` with distinct ids."""
-    filed = classes.mapInArrow(_file(n, num, den), "key long, id long, n int")
-    shared = filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    filed = materialize(filed.join(shared, "key"), "filed")
+def link_classes(classes: DataFrame, n: int, num: int, den: int, known: DataFrame | None = None) -> DataFrame:
+    """``id, root`` for classes ``id, text``; ``known`` has links (a, b) that hold anyhow."""
+    raw = materialize(classes.mapInArrow(_file(n, num, den), "key long, id long, n int"), "all-filed")
+    shared = materialize(raw.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared")
+    filed = materialize(raw.join(shared, "key"), "filed")
+    discard(raw, shared)
     nodes = classes.select("id").distinct()
     classes = materialize(pick(classes, filed.select("id").distinct()), "filed-texts")
     sketches = classes.mapInArrow(_sketch(n), "id long, n int, " + ", ".join(f"{x} long" for x in SKETCH))
     at = materialize(filed.join(sketches, ["id", "n"]), "sketched")
+    discard(filed)
     names = ["id", "n", *SKETCH]
     other = [F.col(x).alias(f"c{x}") for x in names]
 
-    center = at.groupBy("key").agg(F.min_by(F.struct(*other), "id").alias("x")).select("key", "x.*")
+    center = materialize(at.groupBy("key").agg(F.min_by(F.struct(*other), "id").alias("x")).select("key", "x.*"), "centers")
     pairs = at.join(center, "key").filter((F.col("id") != F.col("cid")) & _may_link(num, den))
     links = _linked(pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct(), classes, n, num, den)
+    discard(center)
+    if known is not None:
+        links = links.unionByName(known)
     roots = materialize(components(nodes, links), "roots")
 
     at = at.join(roots, "id")
@@ -233,7 +241,11 @@ def link_classes(classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     more = _linked(pairs.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct(), classes, n, num, den)
     if more.isEmpty():
         return roots
-    return components(nodes, links.unionByName(more))
+    # Only roots move any more: links between them stand for those of their members.
+    of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    more = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    top = components(roots.select(F.col("root").alias("id")).distinct(), more).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return roots.join(materialize(top, "joined"), "root").select("id", F.col("top").alias("root"))
 
 
 def pick(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -264,11 +276,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(F.col(doc_id).isNotNull(), F.col(text)).alias("text"))
     described = materialize(rows.mapInArrow(_describe(n), "doc_id long, n_shingles long, words binary"), "described")
-    first = materialize(described.filter("n_shingles > 0").groupBy("words").agg(F.min("doc_id").alias("class_id")), "first")
-    copies = described.filter("n_shingles > 0").select(F.col("doc_id").alias("id")).join(first.select(F.col("class_id").alias("id")), "id", "left_anti").distinct()
+    worded = described.filter("n_shingles > 0")
+    first = materialize(worded.groupBy("words").agg(F.min("doc_id").alias("class_id")), "first")
+    copies = worded.select(F.col("doc_id").alias("id")).join(first.select(F.col("class_id").alias("id")), "id", "left_anti").distinct()
     classes = pick(rows.select(F.col("doc_id").alias("id"), "text"), copies, "left_anti")
-    roots = link_classes(classes, n, num, den)
+    # Texts under one doc_id hold their classes together.
+    several = worded.groupBy(F.col("doc_id").alias("id")).agg(F.min("words").alias("lo"), F.max("words").alias("hi")).filter("lo < hi").select("id")
+    several = materialize(several, "several-texts")
+    known, repeated = None, several.count() > 0
+    if repeated:
+        held = pick(worded.select(F.col("doc_id").alias("id"), "words"), several).join(first, "words").select("id", F.col("class_id").alias("b")).distinct()
+        known = held.join(held.groupBy("id").agg(F.min("b").alias("a")), "id").filter("a < b").select("a", "b").distinct()
+        known = materialize(known, "held-together")
+    roots = link_classes(classes, n, num, den, known)
     of = first.join(roots.select(F.col("id").alias("class_id"), "root"), "class_id")
     out = described.join(of, "words", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    if repeated:  # a row without words belongs to what the other rows of its doc_id do
+        whole = materialize(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "of-ids")
+        out = out.drop("component_id").join(whole, "doc_id", "left").select("doc_id", "n_shingles", "component_id", "class_id")
+    return out

@@ -680,3 +680,20 @@ def test_pipeline_decides_on_rows_of_repeated_and_null_ids(spark, tmp_path):
     many = spark.createDataFrame([(i % 3 or None, prose(rng, 50, 10**6), "en", "s", 0) for i in range(100)], DOCS)
     taken = corpus_pipeline.mixture(spark, many, str(tmp_path)).collect()
     assert len(taken) == 80 and {r["doc_id"] for r in taken} == {None, 1, 2}
+
+
+def test_texts_under_one_id_hold_their_classes_together(spark):
+    rng = random.Random(17)
+    base = [prose(rng, 30) for _ in range(12)]
+    for rows in ([(1, base[0]), (2, base[1]), (5, base[0]), (5, base[1])], [(rng.randrange(14), rng.choice([*base, "", None])) for _ in range(24)]):
+        of = {d: d for d, _ in rows}
+        moved = True
+        while moved:  # the least id of rows with the same id or the same words
+            moved = False
+            for d, t in rows:
+                for e, u in rows:
+                    if (d == e or t and t == u) and of[e] < of[d]:
+                        of[d], moved = of[e], True
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+        assert got == sorted((d, of[d]) for d, _ in rows)
