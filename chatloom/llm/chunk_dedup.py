@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.session import materialize
+from chatloom.session import discard, materialize
 
 #: Bytes on each side within which an end's hash is the least: chunks of 41 bytes on average.
 REACH = 20
@@ -139,34 +139,90 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return rows.mapInArrow(_pieces, "hi long, lo long, doc_id long, start long, size int, words boolean")
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_BYTES) -> DataFrame:
-    """One row for each passage that stands in other documents as well: ``doc_id, start_byte,
-    end_byte, chunks, first_chunks, copies, first_doc_id``.
-
-    A passage is a run of neighbouring or overlapping pieces (chunks, windows of words) that
-    occur in more than one document, of ``least`` bytes or more or with a window. Every passage
-    of 50 words that another document has byte for byte is covered in part at least, and every
-    exact copy of a text with words. ``chunks`` counts the pieces, ``first_chunks`` those whose
-    first occurrence (smallest doc_id, then place) this is; they stay when duplicates go, the
-    others would be removed.
-    ``copies`` is the largest number of occurrences of one of its pieces, ``first_doc_id`` the
-    smallest document that has one. Null and empty texts and null doc_ids have no chunks; rows
-    with the same doc_id are one document, whose chunks at the same place and of the same
-    digest count once; an empty table gives no rows; other columns are ignored.
-    """
+def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Every piece that stands more than once, with the run of its document that it is in, what
+    was counted of its digest, and whether this is its first place (``own``)."""
     every = pieces(docs, text, doc_id)
-    seen = every.groupBy("hi").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hi")
+    # A digest counts as repeated by the hashes of its places; both sides of the join are plain
+    # exchanges, so that a very common digest can be split.
+    place = F.xxhash64("doc_id", "start")
+    seen = every.groupBy("hi").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("hi")
+    seen = materialize(seen, "repeated-digests")
     held = materialize(every.join(seen, "hi"), "repeated-chunks")
-    first = F.min(F.struct("doc_id", "start"))
-    seen = held.groupBy("hi", "lo").agg(F.count("*").alias("copies"), first.alias("first"), F.max("doc_id").alias("b")).filter("first.doc_id < b").drop("b")
-    held = held.join(seen, ["hi", "lo"]).dropDuplicates(["doc_id", "start", "size", "hi", "lo", "words"])
+    discard(seen)
+    if not docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").isEmpty():
+        held = materialize(held.distinct(), "distinct-chunks")
+    counts = held.groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(F.struct("doc_id", "start")).alias("first"))
+    counts = counts.filter("copies > 1").select("hi", "lo", "copies", "first", F.expr("a < b").alias("across"))
+    counts = materialize(counts, "digest-counts")
+    marked = held.join(counts, ["hi", "lo"])
     at = Window.partitionBy("doc_id").orderBy("start", "size", "hi", "lo", "words")
     before = F.max(F.col("start") + F.col("size")).over(at.rowsBetween(Window.unboundedPreceding, -1))
-    held = held.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
-    held = held.withColumn("run", F.sum("new").over(at))
-    own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start"))
-    runs = held.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.count("*").alias("chunks"),
-        F.count_if(own).alias("first_chunks"), F.max("copies").alias("copies"), F.min("first.doc_id").alias("first_doc_id"), F.bool_or("words").alias("words"),
+    marked = marked.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
+    marked = marked.withColumn("run", F.sum("new").over(at))
+    return marked.withColumn("own", (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.start") == F.col("start")))
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_BYTES) -> DataFrame:
+    """One row for each passage that stands elsewhere as well: ``doc_id, start_byte, end_byte,
+    chunks, first_chunks, copies, across, first_doc_id``.
+
+    A passage is a run of neighbouring or overlapping pieces (chunks, windows of words) that
+    occur more than once, in other documents or at another place of the same, of ``least``
+    bytes or more or with a window. Every passage of 50 words that stands elsewhere byte for
+    byte is covered in part at least, and every exact copy of a text with words. ``chunks``
+    counts the pieces, ``first_chunks`` those whose first occurrence (smallest doc_id, then
+    place) this is; they stay when duplicates go, the others would be removed. ``copies`` is
+    the largest number of places of one of its pieces, ``across`` tells whether one stands in
+    another document too, ``first_doc_id`` is the smallest document that has one. Null and empty texts and null doc_ids
+    have no chunks; rows with the same doc_id are one document, whose pieces at the same place
+    and of the same digest count once; an empty table gives no rows; other columns are ignored.
+    """
+    runs = _marked(docs, text, doc_id).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.count("*").alias("chunks"), F.count_if("own").alias("first_chunks"),
+        F.max("copies").alias("copies"), F.bool_or("across").alias("across"), F.min("first.doc_id").alias("first_doc_id"), F.bool_or("words").alias("words"),
     )
     return runs.filter((F.col("end_byte") - F.col("start_byte") >= least) | F.col("words")).drop("run", "words")
+
+
+def _cut(at: int):
+    """Batches of rows whose column ``at`` is the text and whose last two are the starts and ends
+    of what goes, to the rows without those two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t, starts, ends_ in zip(b.column(at), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                t = t.as_py()
+                if t and starts:
+                    data, kept, upto = t.encode("utf-8", "surrogatepass"), [], 0
+                    for s, e in zip(starts, ends_, strict=True):
+                        kept.append(data[upto:s])
+                        upto = max(upto, e)
+                    t = b"".join([*kept, data[upto:]]).decode("utf-8", "ignore")
+                texts.append(t)
+            columns = b.columns[:-2]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST_BYTES) -> DataFrame:
+    """``docs`` whose texts have lost the passages that stand elsewhere before.
+
+    Rows go by doc_id (null ones last), then by a hash of their text, and are taken one by one,
+    so of equal rows the first keeps its text. Of a passage, the pieces go that don't have their
+    first occurrence there; what a cut leaves of a character goes as well. Null texts stay
+    null, a text that goes as a whole is empty; an empty table gives no rows."""
+    order = [F.col(doc_id).asc_nulls_last(), F.xxhash64(text)]
+    row, begin, end = "__chunk_row", "__chunk_starts", "__chunk_ends"
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns, F.monotonically_increasing_id().alias(row))
+    rows = materialize(rows, "numbered-texts")
+    piece = F.when(~F.col("own"), F.struct("start", (F.col("start") + F.col("size")).alias("end")))
+    runs = _marked(rows, text, row).groupBy("doc_id", "run").agg(F.collect_list(piece).alias("cut"), F.bool_or("words").alias("words"), (F.max(F.col("start") + F.col("size")) - F.min("start")).alias("bytes"))
+    cuts = runs.filter((F.col("bytes") >= least) | F.col("words")).groupBy(F.col("doc_id").alias(row)).agg(F.array_sort(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = cuts.select(row, F.col("cut.start").alias(begin), F.col("cut.end").alias(end))
+    full = rows.join(materialize(cuts, "cuts"), row, "left").select(*docs.columns, begin, end)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return full.mapInArrow(_cut(docs.columns.index(text)), kinds)

@@ -176,6 +176,119 @@ def test_periodic_texts_have_few_windows():
     assert len(set(found)) == len(found) <= 3 and first[0] < 60 and last[-1] > len(data) - 200
 
 
+def slow_gear(data):
+    """The hash after each byte, from the last 16 bytes one by one."""
+    out = []
+    for i in range(len(data)):
+        h = 0
+        for c in data[max(0, i - 15) : i + 1]:
+            h = (h << 2) + int(chunk_dedup.GEAR[c]) & 0xFFFFFFFF
+        out.append(h)
+    return out
+
+
+def slow_pieces(data):
+    """(start, end, of words) of every piece, by plain loops."""
+    h, r, n = slow_gear(data), chunk_dedup.REACH, len(data)
+    last = [i + 1 for i in range(r, n - r) if all(h[i] < x for x in h[i - r : i]) and all(h[i] <= x for x in h[i + 1 : i + r + 1])]
+    out, upto = [], 0
+    for e in [*last, n] if n else []:
+        for cut in [*range(upto + chunk_dedup.MOST, e, chunk_dedup.MOST), e] if e - upto > chunk_dedup.MOST else [e]:
+            out.append((upto, cut, False))
+            upto = cut
+    words = [m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", data)]
+    w, spread = chunk_dedup.WORDS, chunk_dedup.SPREAD
+    if words and len(words) < w:
+        out.append((words[0][0], words[-1][1], True))
+    elif words:
+        at = [h[words[i + chunk_dedup.NINTH][1] - 1] for i in range(len(words) - w + 1)]
+        chosen = {min(range(i, i + min(spread, len(at))), key=lambda j: (at[j], j)) for i in range(len(at) - min(spread, len(at)) + 1)}
+        pieces = []
+        for i in sorted(chosen):
+            s, e = words[i][0], words[i + w - 1][1]
+            if pieces and data[s:e] == pieces[-1][2] and s <= pieces[-1][1]:
+                pieces[-1][1] = e
+            else:
+                pieces.append([s, e, data[s:e]])
+        out += [(s, e, True) for s, e, _ in pieces]
+    return out
+
+
+def slow_passages(rows):
+    found = {(d, s, e, w, (t or "").encode()[s:e]) for d, t in rows if d is not None for s, e, w in slow_pieces((t or "").encode())}
+    places = {}
+    for d, s, e, w, data in found:
+        places.setdefault((w, data), []).append((d, s, e))
+    out = []
+    for d in {x[0] for x in found}:
+        held, run, upto = [], [], -1
+        own = sorted((s, e, w, data) for x, s, e, w, data in found if x == d and len(places[w, data]) > 1)
+        for s, e, w, data in own:
+            if s > upto and run:
+                held.append(run)
+                run = []
+            run.append((s, e, w, data))
+            upto = max(upto, e)
+        for run in [*held, run] if run else []:
+            first, last = run[0][0], max(x[1] for x in run)
+            if last - first >= chunk_dedup.LEAST_BYTES or any(x[2] for x in run):
+                p = [places[x[2], x[3]] for x in run]
+                out.append((d, first, last, len(run), sum(min(q)[:2] == (d, x[0]) for q, x in zip(p, run, strict=True)), max(map(len, p)), any(len({y[0] for y in q}) > 1 for q in p), min(min(q)[0] for q in p)))
+    return sorted(out)
+
+
+def test_pieces_against_plain_loops():
+    rng = random.Random(31)
+    for n in (0, 1, 30, 41, 200, 700, 3000):
+        for data in (prose(rng, n // 4 + 1)[:n].encode(), b"a" * n, ("é ü " * n).encode()[:n]):
+            assert chunk_dedup.gear(np.frombuffer(data, np.uint8)).tolist() == slow_gear(data)
+            upto = chunk_dedup.ends(data).tolist()
+            assert [(s, e) for s, e, w in slow_pieces(data) if not w] == list(zip([0, *upto], upto, strict=False))
+            if n < 700 or data[:1] != b"a":
+                first, last, _ = chunk_dedup.digested(data)
+                assert [(s, e) for s, e, w in slow_pieces(data) if w] == list(zip(first.tolist(), last.tolist(), strict=True))
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(33)
+    shared = [prose(rng, n) for n in (5, 12, 30, 60, 90)]
+    rows = []
+    for i in range(60):
+        parts = [prose(rng, rng.choice([0, 3, 20, 80])) for _ in range(3)] + rng.choices(shared, k=rng.choice([0, 1, 2]))
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(0, rows[0][1]), (1, shared[3]), (None, shared[4]), (70, None), (71, ""), (72, " ".join([shared[2]] * 3)), (73, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = chunk_dedup.repeated_passages(df)
+    assert sorted(tuple(r) for r in out.collect()) == slow_passages(rows)
+
+
+def test_repeats_within_a_document_are_found_and_repeated_rows_are_not(spark):
+    rng = random.Random(6)
+    passage, other = prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    inner = f"{passage} {prose(rng, 20, 10**6)} {passage} {prose(rng, 20, 10**6)} {passage}"
+    rows = [(1, inner), (4, other), (4, other), (5, prose(rng, 60, 10**6))]
+    out = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in out} == {1} and {r["copies"] for r in out} == {3} and not any(r["across"] for r in out)
+    assert len(out) == 3 and sum(r["first_chunks"] == r["chunks"] for r in out) == 1
+
+
+def test_texts_without_repeats(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 80, 10**6)
+    a, b, c = (prose(rng, 40, 10**6) for _ in range(3))
+    rows = [(2, f"{b} {passage} {c}"), (1, f"{a} {passage}"), (3, passage), (3, passage), (None, f"{a} {passage}"), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"run": F.lit("own"), "hi": F.lit(5)})
+    out = chunk_dedup.without_repeats(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == df.columns and len(got) == len(rows)
+    whole = dict(got)
+    assert whole[1] == f"{a} {passage}" and whole[6] is None and whole[7] == "" and whole[None] == ""
+    assert whole[2].startswith(b[:-40]) and whole[2].endswith(c[40:]) and len(whole[2]) < len(b) + len(c) + 160
+    assert all(len(t) < 200 for d, t in got if d == 3) and min(len(t) for d, t in got if d == 3) == 0
+    assert chunk_dedup.without_repeats(df.limit(0)).count() == 0
+
+
 # --- 4: mixing
 
 
