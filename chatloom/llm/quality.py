@@ -8,7 +8,8 @@ their sizes explain, so sparse sites hardly move a decision and large ones do. A
 posterior log odds are its evidence plus how far its path's level lies from the corpus's.
 
 Two targets are scored alike: good quality and toxicity. A document is kept if it is more
-likely good than not and less likely toxic than not.
+likely good than not and less likely toxic than not. Levels are taken without the document
+itself, so that its evidence doesn't count twice.
 """
 
 from __future__ import annotations
@@ -109,10 +110,11 @@ def _describe(vocabulary: list[bytes]):
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = MAX_TRAIN) -> Model | None:
     """Fit on at most ``most`` labelled rows; None where no label of both kinds of quality is
     there. ``labels`` has ``doc_id, quality, toxic``; of several rows the mean counts, rounded;
-    null labels are left out."""
+    null labels are left out. Of rows that repeat a doc_id the first text in order counts."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).alias("good"), F.round(F.avg("toxic")).alias("toxic"))
     some = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # at most ``most`` rows
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # ``some`` has at most ``most`` rows
+    rows = rows.groupBy("doc_id", "good", "toxic").agg(F.min("text").alias("text"))  # and so have these
     rows = materialize(rows.select("text", "good", "toxic"), "labelled")
     total = rows.agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).first()
     if not total["n"] or total["good"] in (0, total["n"]):
@@ -137,13 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return Model(vocabulary, mean, scale, weights)
 
 
-def _evidence(model: Model, at: int):
+def _evidence(model: Model, at: int, keep: int):
+    """Batches of rows whose column ``at`` is the text, to their first ``keep`` columns, the last
+    two (host and path), and the evidence for each target."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 e = np.array([model.evidence(t.as_py()) for t in part.column(at)]).reshape(-1, len(TARGETS))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(e[:, i]) for i in range(len(TARGETS))]], [*part.schema.names, *[f"__{t}" for t in TARGETS]])
+                names = [*part.schema.names[:keep], *part.schema.names[-2:], *TARGETS]
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *part.columns[-2:], *[pa.array(e[:, i]) for i in range(len(TARGETS))]], names)
 
     return run
 
@@ -166,52 +172,67 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def site_levels(scored: DataFrame) -> DataFrame:
-    """``host, path`` and for each target ``<t>_host, <t>_path`` (shrunk levels) and ``<t>_move``
-    (log odds of the path's level less the corpus's), from ``host, path`` and ``__<t>``."""
-    p = lambda t: 1 / (1 + F.exp(-F.col(f"__{t}")))
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(p(t)).alias(t) for t in TARGETS]), "paths")
-    whole = paths.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(t).alias(f"h_{t}") for t in TARGETS])
-    levels = {t: (whole[t] / whole["n"] if whole["n"] else 0.5) for t in TARGETS}
-    for t in TARGETS:
-        k = _strength(hosts, "hn", f"h_{t}", F.lit(levels[t]))
-        hosts = hosts.withColumn(f"{t}_host", (F.col(f"h_{t}") + k * levels[t]) / (F.col("hn") + k))
-    paths = paths.join(hosts, "host")
-    for t in TARGETS:
-        k = _strength(paths, "n", t, F.col(f"{t}_host"))
-        paths = paths.withColumn(f"{t}_path", (F.col(t) + k * F.col(f"{t}_host")) / (F.col("n") + k))
-        paths = paths.withColumn(f"{t}_move", logit(F.col(f"{t}_path")) - logit(F.lit(levels[t])))
-    return materialize(paths.select("host", "path", *[f"{t}_{s}" for t in TARGETS for s in ("host", "path", "move")]), "sites")
+def probability(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-odds))
+
+
+class Sites:
+    """Sums over hosts and paths, and how strongly they are shrunk.
+
+    ``table`` has a row for each ``host, path``: ``n, hn`` (rows of the path, of the host) and for
+    each target ``<t>_sum, <t>_hsum`` (their probabilities' sums)."""
+
+    def __init__(self, scored: DataFrame):
+        """``scored`` has ``host, path`` and each target's evidence (log odds)."""
+        paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(probability(F.col(t))).alias(f"{t}_sum") for t in TARGETS]), "paths")
+        whole = paths.agg(F.sum("n").alias("n"), *[F.sum(f"{t}_sum").alias(t) for t in TARGETS]).first()
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"{t}_sum").alias(f"{t}_hsum") for t in TARGETS])
+        self.level = {t: (whole[t] / whole["n"] if whole["n"] else 0.5) for t in TARGETS}
+        self.host_strength = {t: _strength(hosts, "hn", f"{t}_hsum", F.lit(self.level[t])) for t in TARGETS}
+        self.table = materialize(paths.join(hosts, "host"), "sites")
+        self.path_strength = {t: _strength(self.table, "n", f"{t}_sum", self.host_level(t)) for t in TARGETS}
+
+    def host_level(self, t: str, own: Column | float = 0.0, rows: int = 0) -> Column:
+        """The host's level without ``rows`` rows whose probabilities sum to ``own``."""
+        k = self.host_strength[t]
+        return (F.greatest(F.lit(0.0), F.col(f"{t}_hsum") - own) + k * self.level[t]) / (F.col("hn") - rows + k)
+
+    def path_level(self, t: str, host: Column, own: Column | float = 0.0, rows: int = 0) -> Column:
+        k = self.path_strength[t]
+        return (F.greatest(F.lit(0.0), F.col(f"{t}_sum") - own) + k * host) / (F.col("n") - rows + k)
 
 
 ADDED = ["p_good", "p_toxic", "good_host", "good_path", "toxic_host", "toxic_path", "keep"]
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``p_good, p_toxic`` (posteriors), the shrunk levels of the row's host and
-    path for both targets, and ``keep``.
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``columns``) with ``p_good, p_toxic`` (posteriors), the shrunk levels of
+    the row's host and path for both targets, taken without the row, and ``keep``.
 
-    Null and empty texts have the evidence of a text without characters; null hosts and paths
-    count as ``''``. Rows are judged one by one, so repeated rows get equal results. Without
-    usable labels all rows are kept with null posteriors. An empty table gives no rows;
-    columns named as the added ones are replaced.
+    Texts are read once: what is returned of the rows is written with their evidence, so leave
+    columns out that aren't needed. Null and empty texts have the evidence of a text without
+    characters; null hosts and paths count as ``''``. Rows are judged one by one, so repeated
+    rows get equal results. Without usable labels all rows are kept with null posteriors. An
+    empty table gives no rows; columns named as the added ones are replaced, others may have
+    any name.
     """
-    docs = docs.drop(*ADDED, *[f"__{t}" for t in TARGETS])
+    given = [c for c in columns or docs.columns if c.lower() not in ADDED]
+    named = lambda c: F.col(f"`{c}`")
     model = train(docs, labels, text, doc_id)
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in ADDED[:-1]} | {"keep": F.lit(True)})
-    run, extra = _evidence(model, 0), ", ".join(f"__{t} double" for t in TARGETS)
-    site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")]
-    slim = docs.select(F.col(text).alias("text"), *site)
-    sites = site_levels(slim.mapInArrow(run, f"text string, host string, path string, {extra}").drop("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    full = docs.mapInArrow(_evidence(model, docs.columns.index(text)), f"{kinds}, {extra}")
-    small = sites.count() <= BROADCAST_SITES
-    sites = sites.withColumnsRenamed({"host": "__host", "path": "__path"})
-    on = (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host")) & (F.coalesce(F.col(path).cast("string"), F.lit("")) == F.col("__path"))
-    out = full.join(F.broadcast(sites) if small else sites, on)
+        return docs.select(*map(named, given), *[F.lit(None).cast("double").alias(c) for c in ADDED[:-1]], F.lit(True).alias("keep"))
+    # Columns go by their number, so that no name can clash.
+    site = [F.coalesce(named(c).cast("string"), F.lit("")).alias(as_) for c, as_ in ((host, "host"), (path, "path"))]
+    inner = docs.select(*[named(c).alias(f"r{i}") for i, c in enumerate(given)], *([] if text in given else [named(text).alias("text")]), *site)
+    kinds = [f"r{i} {inner.schema[f'r{i}'].dataType.simpleString()}" for i in range(len(given))] + ["host string", "path string"] + [f"{t} double" for t in TARGETS]
+    at = given.index(text) if text in given else len(given)
+    scored = materialize(inner.mapInArrow(_evidence(model, at, len(given)), ", ".join(kinds)), "scored")
+    sites = Sites(scored)
+    out = scored.join(F.broadcast(sites.table) if sites.table.count() <= BROADCAST_SITES else sites.table, ["host", "path"])
     for t in TARGETS:
-        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(f"__{t}") + F.col(f"{t}_move")))))
+        p = probability(F.col(t))
+        out = out.withColumn(f"{t}_host", sites.host_level(t, p, 1))
+        out = out.withColumn(f"{t}_path", sites.path_level(t, F.col(f"{t}_host"), p, 1))
+        out = out.withColumn(f"p_{t}", probability(F.col(t) + logit(F.col(f"{t}_path")) - logit(F.lit(sites.level[t]))))
     out = out.withColumn("keep", (F.col("p_good") >= 0.5) & (F.col("p_toxic") < 0.5))
-    return out.select(*docs.columns, *ADDED)
+    return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(given)], *ADDED)

@@ -154,5 +154,4 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "source", "lang", *quality.ADDED)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "source", "lang"])

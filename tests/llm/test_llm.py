@@ -554,11 +554,70 @@ def test_quality_and_toxicity_held_out(spark):
 
 def test_sparse_sites_shrink_to_the_prior(spark):
     rows = [("big", "en", 3.0)] * 400 + [("bad", "en", -3.0)] * 400 + [("mid", "en", 0.0)] * 400 + [("one", "en", -3.0)]
-    scored = spark.createDataFrame([(h, p, e, -4.0) for h, p, e in rows], "host string, path string, __good double, __toxic double")
-    level = {r["host"]: r["good_path"] for r in quality.site_levels(scored).collect()}
+    scored = spark.createDataFrame([(h, p, e, -4.0) for h, p, e in rows], "host string, path string, good double, toxic double")
+    sites = quality.Sites(scored)
+    level = {r["host"]: r["x"] for r in sites.table.withColumn("x", sites.path_level("good", sites.host_level("good"))).collect()}
     assert level["bad"] < level["one"] < level["mid"] < level["big"]
 
 
+def slow_posteriors(evidence, sites):
+    """(posterior, host level, path level) of each row for one target, by plain loops."""
+    p = [1 / (1 + math.exp(-e)) for e in evidence]
+    level = sum(p) / len(p)
+
+    def strength(groups, target):
+        inside = sum(len(g) * target[k] * (1 - target[k]) for k, g in groups.items()) / len(p)
+        between = sum(len(g) * (sum(g) / len(g) - target[k]) ** 2 for k, g in groups.items()) / len(p)
+        return min(1e6, max(1.0, inside / max(between - inside * len(groups) / len(p), 1e-9)))
+
+    hosts, paths = {}, {}
+    for x, (h, q) in zip(p, sites, strict=True):
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, q), []).append(x)
+    kh = strength(hosts, dict.fromkeys(hosts, level))
+    kp = strength(paths, {(h, q): (sum(hosts[h]) + kh * level) / (len(hosts[h]) + kh) for h, q in paths})
+    logit = lambda x: math.log(min(1 - 1e-6, max(1e-6, x)) / (1 - min(1 - 1e-6, max(1e-6, x))))
+    out = []
+    for e, x, (h, q) in zip(evidence, p, sites, strict=True):
+        host = (max(0, sum(hosts[h]) - x) + kh * level) / (len(hosts[h]) - 1 + kh)
+        path = (max(0, sum(paths[h, q]) - x) + kp * host) / (len(paths[h, q]) - 1 + kp)
+        out.append((1 / (1 + math.exp(-(e + logit(path) - logit(level)))), host, path))
+    return out
+
+
+def test_posteriors_against_plain_loops(spark):
+    rng = random.Random(12)
+    texts, known = [*ODD], []
+    for i in range(300):
+        bad = rng.random() < (0.7 if i % 4 == 1 else 0.1)
+        known.append((len(texts), int(not bad), int(rng.random() < 0.1)))
+        texts.append(junk(rng) if bad and rng.random() < 0.9 else prose(rng, rng.randint(3, 80)))
+    df = docs(spark, texts, extra=True)
+    for c in ("good", "toxic", "good_move", "__good", "__host", "r0", "P_Good", "good_sum", "hn", "a.b", "with space"):
+        df = df.withColumn(c, F.lit(f"own {c}"))
+    labels = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality.classify(df, labels).collect()}
+    model = quality.train(df, labels)
+    sites = [(f"src{i % 4}" if i % 5 else "", ("en", "", "de")[i % 3]) for i in range(len(texts))]
+    evidence = np.array([model.evidence(t) for t in texts])
+    for k, t in enumerate(quality.TARGETS):
+        for i, want in enumerate(slow_posteriors(evidence[:, k].tolist(), sites)):
+            assert np.allclose([out[i][f"p_{t}"], out[i][f"{t}_host"], out[i][f"{t}_path"]], want, atol=1e-6)
+    assert out[5]["good_move"] == "own good_move" and out[5]["__good"] == "own __good" and out[5]["a.b"] == "own a.b"
+    slim = quality.classify(df, labels, columns=["doc_id", "r0"])
+    assert slim.columns == ["doc_id", "r0", *quality.ADDED] and slim.count() == len(texts)
+
+
+def test_repeated_labelled_rows_train_once(spark):
+    rng = random.Random(13)
+    rows = [(i, junk(rng) if i % 2 else prose(rng, 30)) for i in range(40)]
+    rows += [(1, f"again {i}") for i in range(500)] + [(None, "no id")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en")})
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)] + [(3, 0, 0)] * 50 + [(None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    out = quality.classify(df, labels).collect()
+    assert len(out) == len(rows) and {r["keep"] for r in out if r["doc_id"] == 0} == {True}
+
+
 # --- 8: personal data
 
 BASE = [
