@@ -5,7 +5,9 @@ path prefix whose length some rule has. The *universe* is the set of all lookup
 corpus. Level 1 encodes the listed keys, level 2 the universe keys that level 1 passes
 wrongly, level 3 the listed keys that level 2 passes, and so on until a level makes no
 mistake over the universe. Membership of any key of the corpus is then exact, and judging a
-URL needs neither a join nor a shuffle: the levels are literals in the projection.
+URL needs neither a join nor a shuffle: the levels are literals in the projection. Lists whose
+levels would be too large for that are cut by ranges of a hash, each with a cascade and a
+projection of its own.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.session import discard, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of at most this many bytes travel as literals; longer lists are looked up by a join.
+#: Bytes of the levels that travel as literals at once; longer lists are judged in ranges.
 MAX_FILTER_BYTES = 16 << 20
-#: More levels than any set needs: each halves what is left at least.
+#: More levels than any set needs: each halves what is left, but for chance.
 MAX_LEVELS = 64
 
 
@@ -61,9 +65,10 @@ class Level:
 
 
 def positions(key: Column, number: int, bits: int, hashes: int) -> list[Column]:
-    """Bit positions by double hashing, seeded with the level's number."""
-    one = F.pmod(F.xxhash64(key, F.lit(number)), F.lit(bits).cast("long"))
-    two = F.pmod(F.xxhash64(key, F.lit(number), F.lit(1)), F.lit(bits - 1).cast("long")) + 1
+    """Bit positions by double hashing, seeded with the level's number: it is hashed before the
+    key, so keys that meet in one level need not meet in another."""
+    one = F.pmod(F.xxhash64(F.lit(number), key), F.lit(bits).cast("long"))
+    two = F.pmod(F.xxhash64(F.lit(number), F.lit(1), key), F.lit(bits - 1).cast("long")) + 1
     return [F.pmod(one + i * two, F.lit(bits).cast("long")) for i in range(hashes)]
 
 
@@ -84,31 +89,22 @@ def encode(keys: DataFrame, number: int, bits: int, hashes: int) -> Level:
     return Level(number, bits, hashes, words)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0, max_bytes: int = MAX_FILTER_BYTES) -> list[Level] | None:
-    """Levels over ``listed`` and ``universe`` (both: distinct ``key``); None where they
-    would take more than ``max_bytes``."""
-    inside = listed.persist()
-    outside = universe.join(listed, "key", "left_anti")
+def build_cascade(listed: DataFrame, others: DataFrame, seed: int = 0) -> list[Level]:
+    """Levels over distinct ``key``s, listed ones and all others of the universe."""
+    inside, outside = materialize(listed, "keys"), materialize(others, "keys")
+    n, left = inside.count(), outside.count()
     levels: list[Level] = []
-    n, others, total = inside.count(), None, 0
-    held = [inside]
-    try:
-        while n and len(levels) < MAX_LEVELS:
-            if others is None:
-                others = outside.count()
-            bits, hashes = shape(n, others)
-            total += bits // 8
-            if total > max_bytes:
-                return None
-            level = encode(inside, seed + len(levels), bits, hashes)
-            levels.append(level)
-            inside, outside = outside.filter(level.passes(F.col("key"))).persist(), inside
-            held.append(inside)
-            others, n = n, inside.count()
-        return levels
-    finally:
-        for df in held:
-            df.unpersist()
+    while n:
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError(f"{n} keys can't be told apart by {MAX_LEVELS} levels")
+        level = encode(inside, seed + len(levels), *shape(n, left))
+        levels.append(level)
+        wrong = materialize(outside.filter(level.passes(F.col("key"))), "keys")
+        discard(outside)
+        inside, outside = wrong, inside
+        left, n = n, wrong.count()
+    discard(inside, outside)
+    return levels
 
 
 def member(key: Column, levels: list[Level]) -> Column:
@@ -128,40 +124,47 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     part are no rules; of equal rules with both verdicts, block holds. A null URL or one
     without ``://`` has an empty host and path and gets ``default``. Repeated rows each get
     their row; an empty table gives an empty result; columns named as the added ones are
-    replaced.
+    replaced. Levels beyond ``max_bytes`` are built and used one range of keys after another,
+    each in a pass over the pages that keeps the longest hit so far.
     """
     rules = rules.filter(F.col("rule").isNotNull() & F.col("verdict").isNotNull()).groupBy(F.col("rule").alias("key")).agg(F.max("verdict").alias("verdict"))
-    rules = rules.withColumn("key", F.concat(F.translate(F.regexp_extract("key", r"(?s)^[^/]*", 0), UPPER, LOWER), F.regexp_extract("key", r"(?s)^[^/]*(.*)", 1))).persist()
+    rules = rules.withColumn("key", F.concat(F.translate(F.regexp_extract("key", r"(?s)^[^/]*", 0), UPPER, LOWER), F.regexp_extract("key", r"(?s)^[^/]*(.*)", 1)))
+    rules = materialize(rules.groupBy("key").agg(F.max("verdict").alias("verdict")), "url-rules")
     lengths = sorted(r[0] for r in rules.select((F.length("key") - F.length(F.regexp_extract("key", r"(?s)^[^/]*", 0))).alias("n")).distinct().collect())
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    added = ("host", "path", "rule", "verdict")
+    named = pages.drop(*added, HIT).withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not lengths:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = lookup_keys(F.col("host"), F.col("path"), lengths)
-    universe = named.select(F.explode(keys).alias("key")).distinct().unionByName(rules.select("key")).distinct().persist()
-    try:
+    universe = named.select(F.explode(keys).alias("key")).distinct()
+    universe = materialize(universe.join(rules.select("key", "verdict"), "key", "left"), "url-keys")
+    whole = universe.count()
+    size = sum(2 * shape(r["count"], whole)[0] // 8 for r in rules.groupBy("verdict").count().collect())  # a few verdicts; later levels are smaller than the first
+    ranges = max(1, math.ceil(size / max_bytes))
+    for i in range(ranges):
         cascades = {}
-        for n, verdict in enumerate(("allow", "block")):
-            levels = build_cascade(rules.filter(F.col("verdict") == verdict).select("key"), universe, 1000 * n, max_bytes)
-            if levels is None:
-                return _by_join(named, rules, keys, default)
-            cascades[verdict] = levels
-    finally:
-        universe.unpersist()
-        rules.unpersist()
-
-    def judged(k: Column) -> Column:
-        return F.when(member(k, cascades["block"]), F.lit("block")).when(member(k, cascades["allow"]), F.lit("allow"))
-
-    hit = F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("rule"), judged(k).alias("verdict"))), lambda h: h["verdict"].isNotNull()), F.lit(0))
-    out = named.withColumn("__hit", hit)
-    return out.withColumns({"rule": F.col("__hit.rule"), "verdict": F.coalesce(F.col("__hit.verdict"), F.lit(default))}).drop("__hit")
-
-
-def _by_join(named: DataFrame, rules: DataFrame, keys: Column, default: str) -> DataFrame:
-    """For lists beyond the filters' bound: each distinct (host, path) is looked up by a
-    shuffled join, and the longest hit comes back by another."""
-    sites = named.select("host", "path").distinct()
-    hits = sites.select("host", "path", F.posexplode(keys).alias("at", "key")).join(rules.hint("merge"), "key")
-    best = hits.groupBy("host", "path").agg(F.min_by(F.struct("key", "verdict"), "at").alias("hit"))
-    out = named.join(best.hint("merge"), ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("hit.key"), "verdict": F.coalesce(F.col("hit.verdict"), F.lit(default))}).drop("hit")
+        for n, verdict in enumerate(("block", "allow")):
+            part = universe if ranges == 1 else universe.filter(_range_of(F.col("key"), ranges) == i)
+            same = F.coalesce(F.col("verdict") == verdict, F.lit(False))
+            cascades[verdict] = build_cascade(part.filter(same).select("key"), part.filter(~same).select("key"), 1000 * n)
+
+        def judged(k: Column, cascades=cascades, i=i) -> Column:
+            out = F.when(member(k, cascades["block"]), F.lit("block")).when(member(k, cascades["allow"]), F.lit("allow"))
+            return out if ranges == 1 else F.when(_range_of(k, ranges) == i, out)
+
+        hit = F.get(F.filter(F.transform(keys, lambda k: F.struct(k.alias("rule"), judged(k).alias("verdict"))), lambda h: h["verdict"].isNotNull()), F.lit(0))
+        if i:  # of hits of two ranges the longer; no two keys of a URL are of one length, host and path
+            at = lambda h: F.array_position(keys, h["rule"])
+            hit = F.when(F.col(HIT).isNull() | (at(hit) < at(F.col(HIT))), F.coalesce(hit, F.col(HIT))).otherwise(F.col(HIT))
+        before, named = named, named.withColumn(HIT, hit)
+        if ranges > 1:
+            named = materialize(named, "url-hits")
+            discard(before)
+    return named.withColumns({"rule": F.col(f"{HIT}.rule"), "verdict": F.coalesce(F.col(f"{HIT}.verdict"), F.lit(default))}).drop(HIT)
+
+
+HIT = "__url_hit"
+
+
+def _range_of(key: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(ranges))

@@ -106,7 +106,7 @@ def brute_url(url):
 URLS = [None, "", "no scheme", "http://WWW.Example.COM/en/x?q", "http://a.example.com/en/", "http://example.com/en", "x://b.net/es/1#y", "x://net/fr/", "x://notnet.org/es/", "http://com", "http://com/", "http://.com/", "http://com./", "a://b://c.net/es/", "http://K\u212a.com/é/"]
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("max_bytes", [1 << 20, 24])
 def test_urls_against_brute_force(spark, max_bytes):
     rng = random.Random(3)
     urls = URLS + [f"http://{'.'.join(rng.choice(['www', 'example', 'com', 'net', 'a']) for _ in range(rng.randint(1, 4)))}/{rng.choice(['en', 'es', 'fr'])}/{rng.randrange(9)}" for _ in range(300)]
@@ -117,15 +117,37 @@ def test_urls_against_brute_force(spark, max_bytes):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(RULES, "rule string, verdict string")).count() == 0
 
 
+def test_long_lists_go_through_cascades_in_ranges(spark):
+    rng = random.Random(8)
+    hosts = [f"h{i}.net" for i in range(3000)]
+    rules = [(f"{h}/{p}", rng.choice(["allow", "block"])) for h in rng.sample(hosts, 900) for p in ("", "a/", "a/b/") if rng.random() < 0.6]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}/{rng.choice(['', 'a/', 'a/b/', 'c/'])}x" for _ in range(3000)]
+    held = {r: v for r, v in rules}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    for max_bytes in (1 << 20, 300):
+        out = url_filter.filter_urls(pages, spark.createDataFrame(rules, "rule string, verdict string"), max_bytes=max_bytes).collect()
+        for r in out:
+            host = r["host"].removeprefix("www.")
+            fits = [x for x in (f"{host}/a/b/", f"{host}/a/", f"{host}/") if x in held and r["path"].startswith(x[len(host) :])]
+            assert (r["rule"], r["verdict"]) == ((fits[0], held[fits[0]]) if fits else (None, "allow"))
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.filter("key LIKE '%7'")
-    levels = url_filter.build_cascade(listed, universe)
+    levels = url_filter.build_cascade(listed, universe.filter("key NOT LIKE '%7'"))
     got = universe.filter(url_filter.member(F.col("key"), levels))
     assert got.count() == listed.count() == got.join(listed, "key").count()
     assert len(levels) > 2 and sum(x.bits for x in levels) < 8 * 20000
 
 
+def test_keys_that_cannot_be_told_apart_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LEVELS", 5)
+    same = spark.createDataFrame([("a",)], "key string")
+    with pytest.raises(RuntimeError, match="told apart"):
+        url_filter.build_cascade(same, same)
+
+
 # --- 3: content-defined chunks
 
 
