@@ -5,19 +5,24 @@ a window still matches when an ignored word was substituted. Windows of the benc
 several masks are joined with the windows of all documents; around each hit the two texts are
 laid side by side and the equal words are counted.
 
-The benchmark is a stated query set: it is taken in blocks of a bounded number of windows,
-each of which is broadcast and has a bitmap of its hashes, so documents are neither shuffled
-nor collected, and all but the windows that may hit end in the scan's own stage.
+The benchmark is a stated query set. A bitmap of its hashes goes along with the scan, so all
+but the windows that may hit end in the scan's own stage. The benchmark's windows, each with
+the few words around it, are counted and broadcast while they are few, else joined by a
+shuffle on their hash. Texts are cut into stretches before their windows are taken, so that
+very long ones cost time in proportion.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.session import materialize
+
 #: Eight words, three of them ignored. Any substitution in a run of nine words leaves a window
 #: of one of these untouched.
 MASKS = ("11101001", "11011001", "10010111")
@@ -25,13 +30,18 @@ MASKS = ("11101001", "11011001", "10010111")
 MARGIN = 8
 #: An overlap counts from this many equal words, or the share of a shorter item's words.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: Items of fewer words are no evidence of a leak.
+#: Items of fewer words are no evidence of a leak, unless they are all of a document.
 LEAST_ITEM = 5
 #: Items of fewer words have seeds of their own: MASKS miss some overlaps that count, such as an
 #: item of eight words without its first. From 11 to 13 words they miss none.
 SHORT_ITEM = 11
-#: Windows of one block: bounds what is broadcast (some 100 MB at most).
-BLOCK_WINDOWS = 400_000
+#: Windows up to this number are broadcast: some 350 bytes each, as the words around a window
+#: are at most those of the longest mask and MARGIN on both sides.
+BROADCAST_WINDOWS = 200_000
+#: Words of the bitmap at most (2 MB); a fuller one only lets more windows through to the join.
+BITMAP_WORDS = 1 << 18
+#: Windows of a stretch of text.
+STRETCH = 64
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -63,34 +73,53 @@ def _key(hashes: str, at: str, number: int, mask: str) -> str:
     return f"xxhash64({number}, " + ", ".join(f"get({hashes}, {at} + {i})" for i, bit in enumerate(mask) if bit == "1") + ")"
 
 
-def _keys(hashes: str, size: str, at: str, masks: list[str]) -> str:
-    """SQL for an array with each mask's hash, null where the mask doesn't fit."""
-    return "array(" + ", ".join(f"CASE WHEN {at} + {len(m)} <= {size} THEN {_key(hashes, at, k, m)} END" for k, m in enumerate(masks)) + ")"
+def _places(rows: DataFrame, words: str, span: int) -> DataFrame:
+    """Every place of every row's array ``words``: ``pos``, the array's size ``n``, and ``part``,
+    the words around (from MARGIN before to ``span`` and MARGIN behind at least), whose first is
+    at ``base``. Other columns stay."""
+    others = [c for c in rows.columns if c != words]
+    start = lambda s: F.greatest(s - MARGIN, F.lit(0))
+    stretch = lambda s: F.struct(s.alias("first"), start(s).alias("base"), F.slice(F.col(words), start(s) + 1, F.lit(STRETCH + span + 2 * MARGIN)).alias("part"))
+    size = F.size(words)
+    parts = rows.select(*others, size.alias("n"), F.explode(F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1, F.lit(STRETCH)), stretch))).alias("x"))
+    parts = parts.select(*others, "n", "x.first", "x.base", "x.part")
+    return parts.select(*others, "n", "base", "part", F.explode(F.expr(f"sequence(first, least(first + {STRETCH}, n) - 1)")).alias("pos"))
+
+
+def _keys(masks: list[str]) -> list[Column]:
+    """Each mask's hash at a place, null where the mask doesn't fit."""
+    return [F.expr(f"CASE WHEN pos + {len(m)} <= n THEN {_key('part', 'pos - base', k, m)} END") for k, m in enumerate(masks)]
 
 
 def _windows(items: DataFrame, masks: list[str], places: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """Every window of every item under every mask that may seed it: ``key, item_id, item, at,
-    span``. A mask of ``places`` seeds only items of the sizes and at the words listed there."""
-    at = items.select("item_id", "item", F.size("item").alias("n"), F.explode(F.expr("sequence(0, size(item) - 1)")).alias("at"))
-    keys = at.select("item_id", "item", "n", "at", F.posexplode(F.expr(_keys("item", "n", "at", masks))).alias("mask", "key")).filter("key IS NOT NULL")
-    span = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
+    """Every window of every item under every mask that may seed it: ``key, item_id, item_words,
+    at, span, around`` (words from MARGIN before). A mask of ``places`` seeds only items of the
+    sizes and at the words listed there."""
+    at = _places(items, "item", max(map(len, masks)))
+    keys = at.select("item_id", "n", "pos", "base", "part", F.posexplode(F.array(*_keys(masks))).alias("mask", "key")).filter("key IS NOT NULL")
     for k, m in enumerate(masks):
         if m in places:
-            keys = keys.filter(f"mask <> {k} OR (n, at) IN ({', '.join(f'({n}, {i})' for n, i in places[m])})")
-    return keys.withColumn("span", span).select("key", "item_id", "item", "at", "span")
+            keys = keys.filter(f"mask <> {k} OR (n, pos) IN ({', '.join(f'({n}, {i})' for n, i in places[m])})")
+    keys = keys.withColumn("span", F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1))
+    around = F.expr(f"slice(part, greatest(pos - {MARGIN}, 0) - base + 1, span + {2 * MARGIN})")
+    return keys.select("key", "item_id", F.col("n").alias("item_words"), F.col("pos").alias("at"), "span", around.alias("around"))
 
 
 def _bitmap(windows: DataFrame, count: int) -> tuple[Column, int]:
-    """A literal of the windows' hashes, 16 bits or more each, and its number of words."""
-    words = 1 << max(4, math.ceil(math.log2(count * 16 / 64)))
-    rows = windows.groupBy(F.expr(f"cast(key & {words - 1} as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 40) & 63 as int)))").alias("set")).collect()
+    """A literal of the windows' hashes, 16 bits or more each while that is below the bound, and
+    its number of words."""
+    words = min(BITMAP_WORDS, 1 << max(4, math.ceil(math.log2(count * 16 / 64))))
+    rows = windows.groupBy(F.expr(f"cast(key & {words - 1} as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 40) & 63 as int)))").alias("set")).collect()  # a row for each word at most
     table = [0] * words
     for r in rows:
         table[r["word"]] = r["set"]
     return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>"), words
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", masks: tuple[str, ...] = MASKS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+RESULT = ["doc_id", "item_id", "doc_word", "matched_words", "compared_words", "item_words"]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", masks: tuple[str, ...] = MASKS, least_item: int = LEAST_ITEM, most_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each document and benchmark item that overlap: ``doc_id, item_id,
     doc_word`` (0-based, where the item's first word would lie; below 0 if it is cut off),
     ``matched_words, compared_words, item_words`` at the best place.
@@ -98,51 +127,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     ``benchmark`` has ``item_id`` and ``text``. A hit counts if, of the item's words from
     MARGIN before to MARGIN behind the seed, at least LEAST_SHARE of min(LEAST_WORDS, the
     item's words) equal the document's at the same distance. Of equally good places the first
-    is reported. Case and everything but letters and digits is ignored. Null and empty texts
-    hold no words and match nothing, as do items of fewer than LEAST_ITEM words. Rows with
-    the same doc_id are reported as one document (the best place of any); an empty table
-    gives no rows; other columns are ignored.
+    is reported. Items of fewer than ``least_item`` words count where a document has the same
+    words and no others. Case and everything but letters and digits is ignored. Null and empty
+    texts hold no words and match nothing. Rows with the same doc_id are reported as one
+    document (the best place of any); an empty table gives no rows; other columns are ignored.
     """
     shortest = min(map(len, masks))
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).filter(F.size("item") >= LEAST_ITEM).dropDuplicates(["item_id", "item"])
-    short = [r["n"] for r in items.filter(F.size("item") < max(SHORT_ITEM, shortest)).select(F.size("item").alias("n")).distinct().collect()]
+    every = benchmark.select("item_id", word_hashes(F.col("text")).alias("item")).filter(F.size("item") > 0).dropDuplicates(["item_id", "item"])
+    every = materialize(every, "items")
+    items, short = every.filter(F.size("item") >= least_item), every.filter(F.size("item") < least_item)
+    sizes = [r["n"] for r in items.filter(F.size("item") < max(SHORT_ITEM, shortest)).select(F.size("item").alias("n")).distinct().collect()]
     places: dict[str, list[tuple[int, int]]] = {}
-    for n in sorted(short):
+    for n in sorted(sizes):
         for mask, at in short_seeds(n):
             if mask not in masks:
                 places.setdefault(mask, []).append((n, at))
     masks_ = [*masks, *places]
-    total = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0] * len(masks_)
-    blocks = max(1, math.ceil(total / block_windows))
     words = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
-    found = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        windows = _windows(part, masks_, places).persist()
-        hits = _hits(words, windows, masks_, windows.count())
-        found = hits if found is None else found.unionByName(hits)
+    windows = materialize(_windows(items, masks_, places), "windows")
+    found = _hits(words, windows, masks_, windows.count(), most_windows)
+    if few := short.count():  # whole documents against whole items
+        whole = words.filter(F.size("words").between(1, least_item - 1))
+        same = whole.join(F.broadcast(short) if few <= most_windows else short, F.col("words") == F.col("item"))
+        n = F.size("item")
+        found = found.unionByName(same.select("doc_id", "item_id", F.lit(0).alias("doc_word"), n.alias("matched_words"), n.alias("compared_words"), n.alias("item_words")))
     best = F.struct(F.col("matched_words"), (-F.col("doc_word")).alias("d"), F.col("compared_words"), F.col("item_words"))
     out = found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
     return out.select("doc_id", "item_id", (-F.col("b.d")).alias("doc_word"), "b.matched_words", "b.compared_words", "b.item_words")
 
 
-def _hits(words: DataFrame, windows: DataFrame, masks: list[str], count: int) -> DataFrame:
+def _hits(words: DataFrame, windows: DataFrame, masks: list[str], count: int, most: int) -> DataFrame:
     table, size = _bitmap(windows, max(1, count))
-    at = words.withColumn("n", F.size("words"))
-    at = at.select("doc_id", "words", "n", F.explode(F.expr("CASE WHEN n > 0 THEN sequence(0, n - 1) END")).alias("pos"))
     names = [f"k{i}" for i in range(len(masks))]
-    at = at.select("doc_id", "words", "pos", *[F.expr(f"CASE WHEN pos + {len(m)} <= n THEN {_key('words', 'pos', i, m)} END").alias(names[i]) for i, m in enumerate(masks)])
+    at = _places(words, "words", max(map(len, masks)))
+    at = at.select("doc_id", "n", "base", "part", "pos", *[k.alias(name) for k, name in zip(_keys(masks), names, strict=True)])
     may = [F.getbit(F.get(table, F.expr(f"cast({k} & {size - 1} as int)")), F.expr(f"cast(shiftright({k}, 40) & 63 as int)")) == 1 for k in names]
-    some = may[0]
-    for m in may[1:]:
-        some = some | F.coalesce(m, F.lit(False))
-    at = at.filter(F.coalesce(some, F.lit(False))).select("doc_id", "words", "pos", F.explode(F.array(*names)).alias("key")).filter("key IS NOT NULL")
-    hit = at.join(F.broadcast(windows), "key")  # at most BLOCK_WINDOWS rows
+    some = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), may)
+    at = at.filter(F.coalesce(some, F.lit(False))).select("doc_id", "n", "base", "part", "pos", F.explode(F.array(*names)).alias("key")).filter("key IS NOT NULL")
+    hit = at.join(F.broadcast(windows) if count <= most else windows, "key")
     hit = hit.withColumn("from", F.greatest(F.col("at") - MARGIN, F.lit(0), F.col("at") - F.col("pos")))
-    hit = hit.withColumn("upto", F.least(F.col("at") + F.col("span") + MARGIN, F.size("item"), F.size("words") - F.col("pos") + F.col("at")))
-    ours = F.expr("slice(words, pos - at + from + 1, upto - from)")
-    theirs = F.expr("slice(item, from + 1, upto - from)")
+    hit = hit.withColumn("upto", F.least(F.col("at") + F.col("span") + MARGIN, F.col("item_words"), F.col("n") - F.col("pos") + F.col("at")))
+    ours = F.expr("slice(part, pos - at + from - base + 1, upto - from)")
+    theirs = F.expr(f"slice(around, from - greatest(at - {MARGIN}, 0) + 1, upto - from)")
     hit = hit.withColumn("matched_words", F.size(F.filter(F.zip_with(ours, theirs, lambda a, b: a == b), lambda same: same)))
-    hit = hit.withColumns({"item_words": F.size("item"), "doc_word": F.col("pos") - F.col("at"), "compared_words": F.col("upto") - F.col("from")})
+    hit = hit.withColumns({"doc_word": F.col("pos") - F.col("at"), "compared_words": F.col("upto") - F.col("from")})
     least = F.ceil(F.least(F.col("item_words"), F.lit(LEAST_WORDS)) * LEAST_SHARE)
-    return hit.filter(F.col("matched_words") >= least).select("doc_id", "item_id", "doc_word", "matched_words", "compared_words", "item_words")
+    return hit.filter(F.col("matched_words") >= least).select(RESULT)

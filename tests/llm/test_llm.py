@@ -711,15 +711,71 @@ def test_leaks_with_substitutions(spark):
         return prose(rng, 30, 10**6) + " " + " ".join(words) + " " + prose(rng, 30, 10**6)
 
     texts = [put(items[0]), put(items[0], (7,)), put(items[1], (5, 14)), put(items[2], (3, 11, 19, 27, 35)).upper(), put(items[3]), put(items[4])]
-    texts += [put(" ".join(items[5].split()[10:40])), ", ".join(items[2].split()), *(prose(rng, 300, 10**6) for _ in range(20)), *ODD]
+    texts += [put(" ".join(items[5].split()[10:40])), ", ".join(items[2].split()), *(prose(rng, 300, 10**6) for _ in range(20)), *ODD, items[4].upper()]
     out = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts, extra=True), bench).collect()}
-    assert out == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (6, 5), (7, 2)}
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts), bench, block_windows=50).collect()}
-    assert blocks == out
+    assert out == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (6, 5), (7, 2), (len(texts) - 1, 4)}
+    shuffled = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, texts), bench, most_windows=0).collect()}
+    assert shuffled == out
     assert decontaminate.find_leaks(docs(spark, texts).limit(0), bench).count() == 0
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def slow_leaks(texts, items):
+    """Best place of each document and item, trying every mask at every pair of places."""
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    best = {}
+    for d, t in texts:
+        doc = words(t)
+        for i, u in items:
+            item = words(u)
+            n = len(item)
+            if n < decontaminate.LEAST_ITEM:
+                if n and doc == item:
+                    best[d, i] = max(best.get((d, i), ()), (n, 0, n, n))
+                continue
+            seeds = [(m, a) for m in decontaminate.MASKS for a in range(n - len(m) + 1)]
+            if n < decontaminate.SHORT_ITEM:
+                seeds += decontaminate.short_seeds(n)
+            for m, a in seeds:
+                for pos in range(len(doc) - len(m) + 1):
+                    if all(bit == "0" or doc[pos + k] == item[a + k] for k, bit in enumerate(m)):
+                        low, high = max(a - 8, 0, a - pos), min(a + len(m) + 8, n, len(doc) - pos + a)
+                        same = sum(doc[pos - a + k] == item[k] for k in range(low, high))
+                        if same >= decontaminate.enough(n):
+                            best[d, i] = max(best.get((d, i), (0,)), (same, a - pos, high - low, n))
+    return {k: (v[0], -v[1], *v[2:]) for k, v in best.items()}
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(41)
+    items = [(i, prose(rng, rng.choice([1, 2, 4, 5, 7, 8, 10, 11, 15, 30, 150]), 40)) for i in range(25)] + [(90, None), (91, "")]
+    texts = []
+    for d in range(40):
+        parts = [prose(rng, rng.choice([0, 2, 30]), 40)]
+        for _, u in rng.sample(items[:25], 2):
+            cut = u.split()[rng.choice([0, 0, 1, 3]) :]
+            parts += [" ".join(rng.choice(["other", w.upper()]) if rng.random() < 0.12 else w for w in cut), prose(rng, rng.choice([0, 90]), 40)]
+        texts.append((d % 37, " ".join(parts)))
+    texts += [(50 + k, items[k][1]) for k in range(25)] + [(80, None), (81, "")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items + items[:3], "item_id bigint, text string")
+    want = slow_leaks(texts, items)
+    for most in (decontaminate.BROADCAST_WINDOWS, 0):
+        out = decontaminate.find_leaks(df, bench, most_windows=most).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["matched_words"], r["doc_word"], r["compared_words"], r["item_words"]) for r in out} == want
+        assert len(out) == len(want)
+
+
+def test_very_long_items_and_texts(spark):
+    rng = random.Random(43)
+    item = prose(rng, 50_000, 10**6)
+    words = item.split()
+    texts = [" ".join(words[40_000:40_030]), prose(rng, 60_000, 10**6) + " " + " ".join(words[-20:]), prose(rng, 60_000, 10**6)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    out = {r["doc_id"]: r for r in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
+    assert set(out) == {0, 1} and out[0]["doc_word"] == -40_000 and out[1]["doc_word"] == 60_000 + 20 - 50_000
+
+
 def test_any_substitution_leaves_a_window():
     span = len(decontaminate.MASKS[0])
     for at in range(span + 1):
