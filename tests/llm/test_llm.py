@@ -525,6 +525,14 @@ def test_packing_is_best_fit_decreasing():
     assert {i for _, _, i in opened} == set(range(5))  # two of seven in each of five
 
 
+def test_rounded_sizes(spark):
+    sizes = [1, 16, 2**15 - 1, 2**15, 2**15 + 1, 70_001, 10**6 + 7, 2**40 + 1, 10**15]
+    got = spark.createDataFrame([(x,) for x in sizes], "x bigint").select("x", sharding.rounded(F.col("x")).alias("y")).collect()
+    for r in got:
+        step = 1 << max(0, r["x"].bit_length() - sharding.BITS)
+        assert r["y"] == -(-r["x"] // step) * step and r["y"] - r["x"] <= r["x"] / 2 ** (sharding.BITS - 1)
+
+
 def test_shards_are_whole_and_even(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(1, 120)) for _ in range(1500)] + ["copy of one"] * 300 + ODD
