@@ -1,14 +1,15 @@
 """Personal data by weak supervision.
 
 Base patterns find emails, IP addresses, card and phone numbers; looser patterns propose more
-candidates. Labelers (the strict pattern, checksums, gazetteers, cue words before the span,
-the shape of its digits) vote 1, -1 or 0 (abstain) on every candidate. Expectation
+candidates of each kind, and secrets (keys, tokens, passwords). Labelers (the strict pattern,
+checksums, gazetteers, cue words before the span, the shape of its digits, its layout) vote 1,
+-1 or 0 (abstain) on every candidate. Expectation
 maximisation over the counts of vote patterns estimates each labeler's reliability by kind;
 the posteriors then weigh a naive Bayes span classifier over votes, cue words and shapes,
 which decides on the candidates that the base patterns don't hold for certain.
 
 Everything that touches rows is a DataFrame operation. The driver sees counts only: of vote
-patterns (at most KINDS * 3**LABELERS) and of hashed features (at most FEATURES * KINDS).
+patterns (at most kinds * 3**LABELERS) and of hashed features (at most FEATURES * kinds).
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from chatloom.session import materialize
 
+#: The contract's kinds, and one more whose spans stand in columns of their own.
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 #: Possessive forms of the contract's patterns: as what follows a run can't be part of it,
 #: they match the same spans without backtracking. A match that could start within a run
 #: starts at the run's head, or where the last match ended.
@@ -29,9 +32,17 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Looser candidates, each under the kind that it would be.
+#: Looser candidates, each under the kind that it would be: emails with spelled signs, IPv6 and
+#: bracketed IPv4 addresses, card numbers of 13 to 15 digits, national phone numbers.
 LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63}){1,4}"
-LOOSE_PHONE = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])"
+LOOSE_IP4 = r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9.])"
+LOOSE_IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,45}[0-9])(?=(?:[0-9A-Fa-f]{0,4}:){3})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
+LOOSE_CARD = r"(?<![0-9A-Za-z+])(?<![0-9][ .,-])[0-9](?:[ -]?[0-9]){12,14}+(?![0-9A-Za-z])(?![ .,-][0-9])"
+LOOSE_PHONE = r"(?<![0-9A-Za-z+.-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|00[1-9](?:[ ()-]?[0-9]){8,13}+)(?![0-9A-Za-z.-])"
+SECRETS = (
+    r"(?<![A-Za-z0-9])(?:(?i:api[_-]?key|access[_-]?key|client[_-]?secret|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9_/+=.-]{8,}+"
+    r"|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+)
 #: (kind, base or not, pattern, a cheap test that any match passes)
 PATTERNS = (
     ("email", True, EMAIL, lambda t: F.contains(t, F.lit("@"))),
@@ -39,20 +50,35 @@ PATTERNS = (
     ("card", True, CARD, lambda t: F.rlike(t, F.lit(r"[0-9](?:[ -]?[0-9]){15}"))),
     ("phone", True, PHONE, lambda t: F.rlike(t, F.lit(r"\+[0-9]"))),
     ("email", False, LOOSE_EMAIL, lambda t: F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]"))),
-    ("phone", False, LOOSE_PHONE, lambda t: F.rlike(t, F.lit(r"[0-9][ .-][0-9]{4}"))),
+    ("ip", False, LOOSE_IP4, lambda t: F.rlike(t, F.lit(r"[0-9] ?[\[(](?:\.|dot)[\])]"))),
+    ("ip", False, LOOSE_IP6, lambda t: F.rlike(t, F.lit(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:"))),
+    ("card", False, LOOSE_CARD, lambda t: F.rlike(t, F.lit(r"[0-9](?:[ -]?[0-9]){12}"))),
+    ("phone", False, LOOSE_PHONE, lambda t: F.rlike(t, F.lit(r"[0-9][ .-][0-9]{4}|00[1-9]"))),
+    (SECRET, False, SECRETS, lambda t: F.rlike(t, F.lit(r"(?i:key|secret|token|passw|pwd)[\"']?[ \t]{0,3}[:=]|AKIA|gh[pousr]_|xox[abprs]-|PRIVATE KEY"))),
 )
-#: Gazetteers: top-level domains, issuers' first digits, calling codes, special address blocks.
-TLDS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "example")
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|34|37|6011|65|35|30|36|38)"
-CALLING = r"^(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
-SPECIAL_IP = r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+#: Gazetteers: top-level domains (generic ones, and of countries where most mail is), issuers'
+#: first digits, calling codes, special address blocks.
+TLDS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "io", "info", "biz", "name", "pro", "dev", "app", "me", "tv", "cc", "co", "ai", "xyz", "online", "site", "shop", "cloud", "example",
+    "de", "fr", "es", "uk", "eu", "it", "nl", "be", "ch", "at", "se", "no", "dk", "fi", "pl", "cz", "pt", "gr", "ie", "hu", "ro", "ru", "ua", "tr",
+    "us", "ca", "mx", "br", "ar", "cl", "cn", "jp", "kr", "in", "id", "my", "sg", "th", "vn", "ph", "tw", "hk", "au", "nz", "za", "eg", "ng", "ke", "il", "ae", "sa", "ir", "pk",
+)
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|34|37|6011|64|65|35|30|36|38|39|50|5[6-8]|62|67)"
+CALLING = r"^(?:00)?(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
+SPECIAL_IP = r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^(?i:fe80|ff|::1$|2001:db8)"
 #: Cue words in the CONTEXT characters before a span.
 CONTEXT = 40
-CUES = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telefon|fax|mobile|card|visa|credit|payment|ip|host|address|adresse|reach|write)\b"
-COUNTER_CUES = r"(?i)\b(?:version|order|isbn|invoice|ref|serial|section|figure|table|no)\b"
-LABELERS = ("strict", "checksum", "gazetteer", "context", "shape")
+CUES = r"(?i)\b(?:e-?mail|mail|contact|call|phone|tel|telefon|fax|mobile|card|visa|mastercard|amex|credit|debit|payment|konto|account|ip|host|server|address|adresse|reach|write|login|credentials|config)\b"
+COUNTER_CUES = r"(?i)\b(?:version|order|isbn|issn|ean|invoice|ref|serial|section|figure|table|tracking|timestamp|no)\b"
+#: How card numbers are written: in one run, or in the issuers' groups.
+CARD_LAYOUT = r"^(?:[0-9]{14,16}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -]?[0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+LABELERS = ("strict", "checksum", "gazetteer", "context", "shape", "layout")
 FEATURES = 4096
 ROUNDS = 50
+#: Prior of a labeler's vote being right, and its weight as a share of the labeler's votes.
+RIGHT, TRUST = 0.8, 0.05
+#: Spans that a feature's overall rate counts as, in the span classifier.
+SHRINK = 10.0
 
 
 def _digits(span: Column) -> Column:
@@ -66,13 +92,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def _valid(kind: Column, span: Column) -> Column:
-    """What the contract asks of a base match besides its pattern."""
+def _valid(kind: Column, base: Column, span: Column) -> Column:
+    """What is asked of a base match, by the contract, and of a loose card besides its pattern."""
     digits = _digits(span)
     n = F.length(digits)
     part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?+"
     ip = F.rlike(span, F.lit(rf"^{part}\.{part}\.{part}\.{part}$"))
-    return F.when(kind == "ip", ip).when(kind == "card", F.when(n.between(16, 19), luhn(digits)).otherwise(False)).when(kind == "phone", n.between(8, 15)).otherwise(True)
+    return F.when(kind == "ip", ip).when(kind == "card", F.when(n.between(F.when(base, 16).otherwise(13), F.when(base, 19).otherwise(15)), luhn(digits)).otherwise(False)).when(kind == "phone", n.between(8, 15)).otherwise(True)
 
 
 def _matches(text: Column, number: int, pattern: str, may: Column) -> Column:
@@ -85,25 +111,42 @@ def _matches(text: Column, number: int, pattern: str, may: Column) -> Column:
 
 def _votes(df: DataFrame) -> DataFrame:
     """Columns v0..: each labeler's vote on a candidate."""
-    kind, span, digits = F.col("kind"), F.col("span"), _digits(F.col("span"))
-    strict = F.when(F.col("base"), 1).otherwise(0)
-    checksum = F.when(kind == "card", 1).when(kind == "ip", F.when(F.rlike(span, F.lit(r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$")), 1).otherwise(-1)).when(kind == "phone", F.when(F.length(digits).between(10, 13), 1).otherwise(-1)).otherwise(0)
+    kind, base, span, digits = F.col("kind"), F.col("base"), F.col("span"), _digits(F.col("span"))
+    six = F.contains(span, F.lit(":"))
+    plain = F.regexp_replace(span, r" ?[\[(](?:\.|dot)[\])] ?", ".")
+    part = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    value = F.regexp_extract(span, r"([A-Za-z0-9_/+=.-]+)$", 1)
+    yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
+    either = lambda ok, other=no: F.when(ok, yes).otherwise(other)
+    strict = either(base, none)
+    checksum = (
+        F.when(kind == "card", either(luhn(digits)))
+        .when((kind == "ip") & six, either(F.rlike(span, F.lit(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")), none))
+        .when(kind == "ip", either(F.rlike(plain, F.lit(rf"^{part}(?:\.{part}){{3}}$"))))
+        .when(kind == "phone", either(F.length(digits).between(10, 13)))
+        .when(kind == SECRET, F.when(~F.rlike(value, F.lit("[0-9]")), no).when((F.length(value) >= 16) & F.rlike(value, F.lit("[A-Za-z]")), yes).otherwise(none))
+        .otherwise(none)
+    )
     last = F.lower(F.regexp_extract(span, r"([A-Za-z0-9-]+)$", 1))
     gazetteer = (
-        F.when(kind == "email", F.when(last.isin(*TLDS), 1).otherwise(-1))
-        .when(kind == "card", F.when(F.rlike(digits, F.lit(ISSUERS)), 1).otherwise(-1))
-        .when(kind == "phone", F.when(F.col("base"), F.when(F.rlike(digits, F.lit(CALLING)), 1).otherwise(-1)).otherwise(F.when(F.rlike(digits, F.lit("^[2-9]")), 1).otherwise(-1)))
-        .when(kind == "ip", F.when(F.rlike(span, F.lit(SPECIAL_IP)), -1).otherwise(1))
+        F.when(kind == "email", either(last.isin(*TLDS)))
+        .when(kind == "card", either(F.rlike(digits, F.lit(ISSUERS)), none))
+        .when(kind == "phone", either(F.when(base | F.startswith(digits, F.lit("00")), F.rlike(digits, F.lit(CALLING))).otherwise(F.rlike(digits, F.lit("^[2-9]")))))
+        .when(kind == "ip", F.when(F.rlike(plain, F.lit(SPECIAL_IP)), no).otherwise(yes))
+        .when(kind == SECRET, either(F.rlike(span, F.lit("^(?:AKIA|gh[pousr]_|xox|-----)")), none))
     )
-    context = F.when(F.rlike("before", F.lit(COUNTER_CUES)), -1).when(F.rlike("before", F.lit(CUES)), 1).otherwise(0)
-    shape = F.when(F.rlike(digits, F.lit(r"([0-9])\1{5}")) | F.contains(digits, F.lit("123456")), -1).otherwise(0)
-    return df.withColumns({f"v{i}": v.cast("int") for i, v in enumerate((strict, checksum, gazetteer, context, shape))})
+    context = F.when(F.rlike("before", F.lit(COUNTER_CUES)), no).when(F.rlike("before", F.lit(CUES)), yes).otherwise(none)
+    shape = F.when(F.rlike(digits, F.lit(r"([0-9])\1{5}")) | F.contains(digits, F.lit("123456")) | (six & (digits == "")), no).otherwise(none)
+    alone = either(~F.rlike("before", F.lit(r"[\p{L}\p{N}]$")))
+    layout = F.when(kind == "card", either(F.rlike(span, F.lit(CARD_LAYOUT)))).otherwise(alone)
+    return df.withColumns({f"v{i}": F.when(kind.isNotNull(), v).cast("int") for i, v in enumerate((strict, checksum, gazetteer, context, shape, layout))})
 
 
 def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = ROUNDS) -> tuple[dict[str, float], dict[tuple[str, int, int, int], float]]:
     """Expectation maximisation over counts of (kind, votes): each kind's share of true spans,
-    and P(vote | truth) by (kind, labeler, vote, truth). Smoothed by one of each; started from
-    the majority, so that truth 1 is the class the votes speak for."""
+    and P(vote | truth, it votes) by (kind, labeler, vote, truth). Abstaining says nothing.
+    Started from the majority, and held by a prior that labelers tell the truth (RIGHT of the
+    time, with the weight of TRUST of their votes), so that truth 1 is what the votes speak for."""
     weight = {k: 1 / (1 + math.exp(-sum(k[1]))) for k in counts}
     prior: dict[str, float] = {}
     table: dict[tuple[str, int, int, int], float] = {}
@@ -117,9 +160,12 @@ def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int =
         for kind, _ in counts:
             prior[kind] = (mass[kind, 1] + 1) / (mass[kind, 1] + mass[kind, 0] + 2)
             for i in range(len(LABELERS)):
-                for v in (-1, 0, 1):
-                    for truth in (0, 1):
-                        table[kind, i, v, truth] = (seen[kind, i, v, truth] + 1) / (mass[kind, truth] + 3)
+                trust = 2 + TRUST * sum(seen[kind, i, v, truth] for v in (-1, 1) for truth in (0, 1))
+                for truth in (0, 1):
+                    spoken = seen[kind, i, 1, truth] + seen[kind, i, -1, truth]
+                    for v in (-1, 1):
+                        right = RIGHT if (v == 1) == (truth == 1) else 1 - RIGHT
+                        table[kind, i, v, truth] = (seen[kind, i, v, truth] + trust * right) / (spoken + trust)
         weight = {k: posterior(*k, prior, table) for k in counts}
     return prior, table
 
@@ -128,7 +174,8 @@ def posterior(kind: str, votes: tuple[int, ...], prior: dict, table: dict) -> fl
     """P(true | votes) under the labelers' reliabilities."""
     odds = math.log(prior[kind] / (1 - prior[kind]))
     for i, v in enumerate(votes):
-        odds += math.log(table[kind, i, v, 1] / table[kind, i, v, 0])
+        if v:
+            odds += math.log(table[kind, i, v, 1] / table[kind, i, v, 0])
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
@@ -157,8 +204,8 @@ def candidates(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(p[0]) for p in PATTERNS]), F.col("pattern") + 1)
     base = F.element_at(F.array(*[F.lit(p[1]) for p in PATTERNS]), F.col("pattern") + 1)
     spans = spans.withColumns({"kind": F.when(F.col("pattern").isNotNull(), kind), "base": F.when(F.col("pattern").isNotNull(), base)})
-    spans = spans.withColumn("ok", F.when(F.col("base"), _valid(F.col("kind"), F.col("span"))).otherwise(F.col("base").isNotNull()))
-    # A base match that fails its test is dropped; its row stays, as it may be its document's only one.
+    spans = spans.withColumn("ok", F.when(F.col("base") | (F.col("kind") == "card"), _valid(F.col("kind"), F.col("base"), F.col("span"))).otherwise(F.col("base").isNotNull()))
+    # A match that fails its test is dropped; its row stays, as it may be its document's only one.
     spans = spans.withColumns({c: F.when(F.col("ok"), F.col(c)) for c in ("kind", "base", "start", "end", "span", "before")})
     return _votes(spans.drop("ok", "pattern", "nth", "gap"))
 
@@ -170,11 +217,11 @@ def classify(spans: DataFrame) -> DataFrame:
     counts = {(r["kind"], tuple(r[v] for v in votes)): r["count"] for r in real.groupBy("kind", *votes).count().collect()}
     prior, table = reliabilities(counts)
     odds, truth = F.lit(0.0), F.lit(None).cast("double")
-    for kind in KINDS:
+    for kind in (*KINDS, SECRET):
         if kind in prior:
             odds = F.lit(math.log(prior[kind] / (1 - prior[kind])))
             for i, v in enumerate(votes):
-                odds = odds + F.element_at(_literal([math.log(table[kind, i, x, 1] / table[kind, i, x, 0]) for x in (-1, 0, 1)]), F.col(v) + 2)
+                odds = odds + F.element_at(_literal([math.log(table[kind, i, x, 1] / table[kind, i, x, 0]) if x else 0.0 for x in (-1, 0, 1)]), F.col(v) + 2)
             truth = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))).otherwise(truth)
     spans = spans.withColumn("truth", truth)
     seen = spans.filter("kind IS NOT NULL").select("kind", "truth", F.explode(F.array(*_features())).alias("f")).groupBy("kind", "f").agg(F.sum("truth").alias("yes"), F.sum(1 - F.col("truth")).alias("no")).collect()
@@ -185,11 +232,11 @@ def classify(spans: DataFrame) -> DataFrame:
         mass[kind][1] += n * (1 - p)
     score = F.lit(None).cast("double")
     for kind, (yes, no) in mass.items():
-        weights = [math.log((yes + 2) / (no + 2))] * FEATURES  # what an unseen feature says
-        weights = [-w for w in weights]
+        weights = [0.0] * FEATURES  # what an unseen feature says
         for r in seen:
-            if r["kind"] == kind:
-                weights[r["f"]] = math.log((r["yes"] + 1) / (yes + 2)) - math.log((r["no"] + 1) / (no + 2))
+            if r["kind"] == kind:  # shrunk to the feature's own rate, so that rare ones say little
+                rate = SHRINK * (r["yes"] + r["no"]) / (yes + no)
+                weights[r["f"]] = math.log((r["yes"] + rate) / (yes + SHRINK)) - math.log((r["no"] + rate) / (no + SHRINK))
         line = F.lit(math.log((yes + 1) / (no + 1)))
         for f in _features():
             line = line + F.element_at(_literal(weights), f + 1)
@@ -198,30 +245,35 @@ def classify(spans: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans, added``.
+    """One row for each row of ``docs``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256,
+    spans, added, secrets, n_spans``.
 
     ``n_*`` and ``base_sha256`` are of the base spans, which always stay; ``spans`` has those
     and the ``added`` candidates whose classifier score is above 0 and which overlap no base
-    span. Places are code points, the end exclusive. Null and empty texts have no spans;
-    repeated rows each get their row; an empty table gives no rows; other columns are
-    ignored. A text's matches are rows, not an array, until its spans are joined into the
-    result, so very long texts cost time in proportion.
+    span. ``secrets`` has the spans of keys, tokens and passwords that the classifier takes;
+    ``n_spans`` counts all of these. Places are code points, the end exclusive. Null and empty
+    texts have no spans; repeated rows each get their row; an empty table gives no rows; other
+    columns are ignored. A text's matches are rows, sorted once, until its spans are joined into
+    the result, so very long texts cost time in proportion (but for the sort).
     """
     spans = materialize(candidates(docs, text, doc_id), "pii-spans")
     known = classify(spans)
+    # Base spans that end behind a candidate's start, or start before its end, overlap it.
+    at = Window.partitionBy("rid").orderBy(F.col("start").asc_nulls_last(), F.col("base").desc_nulls_last())
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(at.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    free = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("end"), F.lit(True))
+    known = known.withColumns({"reach": reach, "ahead": ahead}).withColumn("kept", F.col("base") | ((F.col("score") > 0) & free))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    keep = F.col("kind").isNotNull() & (F.col("base") | (F.col("score") > 0))
-    item = F.when(keep, F.struct(order.alias("k"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("base").alias("b"), F.col("kind")))
-    per = known.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    per = per.withColumn("base", F.filter("all", lambda x: x["b"]))
-    extra = F.filter("all", lambda x: ~x["b"] & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    per = per.withColumn("extra", extra)
-    text_of = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return per.select(
-        "doc_id", *[count(k) for k in KINDS],
+    item = F.struct(order.alias("k"), F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "kind")
+    private = F.col("kind") == SECRET
+    text_of = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, item))), lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+    count = lambda which, name: F.count_if(F.coalesce(which, F.lit(False))).alias(name)
+    return known.groupBy("rid", "doc_id").agg(
+        *[count(F.col("base") & (F.col("kind") == k), f"n_{k}") for k in KINDS],
         F.sha2(text_of(F.col("base")), 256).alias("base_sha256"),
-        text_of(F.array_sort(F.concat("base", "extra"))).alias("spans"),
-        F.size("extra").cast("long").alias("added"),
-    )
+        text_of(F.col("kept") & ~private).alias("spans"),
+        count(F.col("kept") & ~F.col("base") & ~private, "added"),
+        text_of(F.col("kept") & private).alias("secrets"),
+        count(F.col("kept"), "n_spans"),
+    ).drop("rid")
