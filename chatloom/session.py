@@ -69,9 +69,19 @@ def discard(*tables: DataFrame) -> None:
             _delete(tables[0].sparkSession, path)
 
 
+def written() -> set[str]:
+    """Paths of the tables that are held so far, for ``discard_since``."""
+    return set(_written)
+
+
+def discard_since(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Delete the tables that ``materialize`` wrote after ``before``, but for those to ``keep``."""
+    for path, table in list(_written.items()):
+        if path not in before and not any(table() is t for t in keep):
+            _delete(spark, path)
+
+
 def clear_materialized(spark: SparkSession, *keep: DataFrame) -> None:
     """Delete the tables that ``materialize`` wrote, but for those to ``keep``, once no result
     is read from them any more."""
-    for path, table in list(_written.items()):
-        if not any(table() is t for t in keep):
-            _delete(spark, path)
+    discard_since(spark, set(), *keep)

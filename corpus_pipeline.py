@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import decontaminate, mixing, ngram_join, quality, queries, sharding
-from chatloom.session import materialize
+from chatloom.session import discard, discard_since, materialize, written
 
 #: Near duplicates: five words, a similarity of 0.8.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -88,8 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents. What a stage wrote besides its result is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES[:-1]:
+        before = written()
+        docs, last = materialize(stage(spark, docs, sf_dir), "stage"), docs
+        discard_since(spark, before, docs)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
