@@ -10,10 +10,56 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.session import materialize
+
 #: Buckets of the seeded order: a bucket's rows are ordered within one task.
 BUCKETS = 4096
 
 
+#: Range partitions or blocks whose counts (some 100 MB) are broadcast.
+BROADCAST_PARTS = 1_000_000
+
+
+def starts(parts: DataFrame, *order: str) -> DataFrame:
+    """Column ``__before``: the rows ``__n`` of all parts before in ``order``. Parts are few: range
+    partitions or blocks of files."""
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("__before", F.coalesce(before, F.lit(0)))
+
+
+def ordered(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+    """Number rows from 0 in any order. They are range-partitioned and sorted within, so ties of
+    all of ``order`` stay together: add columns until none is left to fall in one task. Written
+    before they are numbered, so that numbers don't change when a task runs again."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    return _from_parts(materialize(at, "ordered"), name)
+
+
+def scanned(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Number rows from 0 as partitions hold them. The rows are read twice, so they must come from
+    a scan of files."""
+    return _from_parts(rows.withColumn("__m", F.monotonically_increasing_id()), name)
+
+
+def _from_parts(rows: DataFrame, name: str) -> DataFrame:
+    rows = rows.withColumn("__p", F.shiftright("__m", 33))
+    parts = starts(rows.groupBy("__p").agg(F.count("*").alias("__n")), "__p").drop("__n")
+    within = F.col("__m") - F.shiftleft("__p", 33)
+    return rows.join(F.broadcast(parts), "__p").withColumn(name, F.col("__before") + within).drop("__m", "__p", "__before")  # a row for each partition
+
+
+def in_file_order(rows: DataFrame, name: str = "pos", start: int = 0) -> DataFrame:
+    """Number the rows of a scan of files from ``start``, in the order of the files' paths and of
+    places in them, however Spark cuts and packs the files. Nothing is moved: a block's start is
+    the number of rows of all blocks before it."""
+    at = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s"), F.monotonically_increasing_id().alias("__m"))
+    blocks = at.groupBy("__f", "__s").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
+    blocks = materialize(starts(blocks, "__f", "__s").drop("__n"), "blocks")
+    few = blocks.count() <= BROADCAST_PARTS
+    out = at.join(F.broadcast(blocks) if few else blocks, ["__f", "__s"])
+    return out.withColumn(name, F.col("__before") + F.col("__m") - F.col("__first") + start).drop("__f", "__s", "__m", "__before", "__first")
+
+
 def seeded_key(seed: int, key: Column) -> Column:
     """A pseudo-random order that any engine can repeat: md5 of ``seed:key``."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
@@ -135,9 +181,10 @@ def nested_depths(rows: DataFrame, group: str, pos: str, depths: int, ratio: flo
 
 
 def retained(checkpoints: DataFrame, newest: int, step: str = "step", best: str = "is_best") -> DataFrame:
-    """The newest checkpoints and the best one."""
-    r = F.row_number().over(Window.orderBy(F.desc(step)))  # a run's checkpoints are few
-    return checkpoints.withColumn("__r", r).filter((F.col("__r") <= newest) | F.col(best)).drop("__r")
+    """The newest checkpoints and the best one (several if they are equally good)."""
+    edge = checkpoints.select(F.col(step).alias("__step")).orderBy(F.desc("__step")).limit(newest).agg(F.min("__step").alias("__from"))
+    at = checkpoints.crossJoin(F.broadcast(edge))  # one row
+    return at.filter((F.col(step) >= F.col("__from")) | F.col(best)).drop("__from")
 
 
 def accepted_cap(rows: DataFrame, cap: int, keep: Column, order: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chatloom.functions.text import falsy, stable_id
+from chatloom.operators.order import scanned
 
 #: Speakers and the roles that they are.
 ROLES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bing": "assistant", "bard": "assistant"}
@@ -88,12 +88,9 @@ def rename_id(rows: DataFrame, old: str = "uuid") -> DataFrame:
 
 
 def add_index(rows: DataFrame, name: str = "id") -> DataFrame:
-    """Rows numbered from 0 in file order: each partition's start is the rows before it, so no
-    partition is moved and nothing is sorted."""
-    spark = rows.sparkSession
-    schema = rows.drop(name).schema
-    numbered = rows.drop(name).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(numbered, schema.add(name, T.LongType()))
+    """Rows of a scan numbered from 0 as its partitions hold them: each partition's start is the
+    rows before it, so no partition is moved and nothing is sorted."""
+    return scanned(rows.drop(name), name)
 
 
 PRESETS: dict[str, Callable[[DataFrame], DataFrame]] = {

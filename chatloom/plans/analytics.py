@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import arrays as A
 from chatloom.functions import text as X
-from chatloom.operators import contracts, ledger, metrics
+from chatloom.operators import contracts, ledger, metrics, order
 from chatloom.plans.registry import query, table
 
 
@@ -342,7 +342,7 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "R07_hysteresis",
-    """WITH RECURSIVE r AS (SELECT user_id % 20 AS k, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i, event_id * 7 % 11 AS refs, event_id * 13 % 101 AS bytes FROM events WHERE event_id < 2000),
+    """WITH RECURSIVE r AS (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 7 % 11 AS refs, event_id * 13 % 101 AS bytes FROM events),
     f AS (SELECT k, 0::BIGINT AS i, false AS paused, 0 AS pauses, 0 AS resumes FROM (SELECT DISTINCT k FROM r)
       UNION ALL SELECT f.k, r.i, CASE WHEN f.paused THEN NOT (refs <= 4 AND bytes <= 40) ELSE refs >= 10 OR bytes >= 100 END,
         f.pauses + CASE WHEN NOT f.paused AND (refs >= 10 OR bytes >= 100) THEN 1 ELSE 0 END, f.resumes + CASE WHEN f.paused AND refs <= 4 AND bytes <= 40 THEN 1 ELSE 0 END
@@ -350,8 +350,7 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k, max_by(paused, i) AS paused, max(pauses) AS pauses, max(resumes) AS resumes FROM f GROUP BY k""",
 )
 def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 2000")
-    rows = e.groupBy((F.col("user_id") % 20).alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") * 7 % 11).alias("refs"), (F.col("event_id") * 13 % 101).alias("bytes")))).alias("s"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") * 7 % 11).alias("refs"), (F.col("event_id") * 13 % 101).alias("bytes")))).alias("s"))
     h = rows.select("k", ledger.hysteresis(F.col("s"), 10, 4, 100, 40).alias("h"))
     return h.select("k", F.element_at("h.paused", -1).alias("paused"), "h.pauses", "h.resumes")
 
@@ -466,10 +465,10 @@ def choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.choice_letter(c).alias("v"))
 
 
-@query("W20_ledger_scan", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq FROM events WHERE event_id % 100 = 0")
+@query("W20_ledger_scan", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS seq FROM events")
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 100 = 0")
-    return e.select("event_id", F.row_number().over(Window.orderBy("event_id")).cast("bigint").alias("seq"))
+    out = order.ordered(table(spark, sf_dir, "events").select("event_id"), "event_id")
+    return out.select("event_id", (F.col("pos") + 1).alias("seq"))
 
 
 @query("P16_payload", "SELECT vec_id, 64 AS hidden, label FROM embeddings")

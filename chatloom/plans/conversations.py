@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import arrays as A
@@ -373,12 +373,18 @@ def json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "P19_prompts",
-    "SELECT lang, string_agg('Question: ' || source || chr(10) || 'Answer: ' || n_chars || chr(10) || chr(10), '' ORDER BY doc_id) AS prompt FROM documents WHERE doc_id < 40 GROUP BY lang",
+    """WITH s AS (SELECT lang, string_agg('Question: ' || source || chr(10) || 'Answer: ' || n_chars || chr(10) || chr(10), '' ORDER BY doc_id) AS shots
+                 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY lang)
+    SELECT doc_id, md5(shots || 'Question: ' || source || chr(10) || 'Answer:') AS prompt FROM documents JOIN s ON documents.lang = s.lang""",
 )
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("doc_id < 40").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source", "n_chars"))).alias("x"))
+    """Every document asked after five examples (the number of shots) of its language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    x = d.withColumn("r", first).filter("r <= 5").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "source", "n_chars"))).alias("x"))
     q, a = F.transform("x", lambda r: r["source"]), F.transform("x", lambda r: r["n_chars"].cast("string"))
-    return d.select("lang", normalize.few_shot(q, a).alias("prompt"))
+    shots = x.select("lang", normalize.few_shot(q, a).alias("shots"))
+    return d.join(shots, "lang").select("doc_id", F.md5(F.concat("shots", F.lit("Question: "), "source", F.lit("\nAnswer:")).cast("binary")).alias("prompt"))
 
 
 @query("P20_option_lines", "SELECT doc_id, 2 AS n, source || '|' || lang AS options FROM documents")

@@ -16,10 +16,10 @@ from chatloom.streaming.refs import fresh_folder
 MESSAGES = "conversations array<struct<role: string, content: string>>"
 
 
-def one_file(rows: DataFrame, name: str) -> str:
-    """Lines of one file in the order of their column ``line``."""
+def line_files(rows: DataFrame, name: str) -> str:
+    """Lines of files in the order of their column ``line``, as paths and places in them go."""
     folder = fresh_folder(rows.sparkSession, name)
-    rows.coalesce(1).sortWithinPartitions("line").select("value").write.text(folder)
+    rows.repartitionByRange("line").sortWithinPartitions("line").select("value").write.text(folder)
     return folder
 
 
@@ -35,21 +35,21 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("S05_E02_lenient_lines", "SELECT doc_id AS source_row_index, CASE WHEN doc_id % 4 <> 1 THEN doc_id::VARCHAR END AS id, CASE WHEN doc_id % 4 = 1 THEN 'Expected a JSON object' END AS error FROM documents WHERE doc_id % 4 <> 0")
 def lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    path = one_file(d.select(F.col("doc_id").alias("line"), F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'oops' ELSE '{\"id\":\"' || doc_id || '\"}' END").alias("value")), "lines")
+    path = line_files(d.select(F.col("doc_id").alias("line"), F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'oops' ELSE '{\"id\":\"' || doc_id || '\"}' END").alias("value")), "lines")
     return readers.lenient_jsonl(spark, path, "id string").select("source_row_index", "id", "error")
 
 
 @query("S03_S04_strict_lines", "SELECT doc_id + 1 AS line, doc_id::VARCHAR AS id FROM documents")
 def strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    path = one_file(d.select(F.col("doc_id").alias("line"), F.expr("'{\"id\":\"' || doc_id || '\"}'").alias("value")), "lines")
+    path = line_files(d.select(F.col("doc_id").alias("line"), F.expr("'{\"id\":\"' || doc_id || '\"}'").alias("value")), "lines")
     return readers.strict_jsonl(spark, path, "id string")
 
 
 @query("S06_safe_scan", "SELECT doc_id % 3 AS kind, count(*) AS n, sum(CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END)::BIGINT AS messages FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1")
 def safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.expr("""CASE doc_id % 3 WHEN 0 THEN '{"conversations":[{"role":"user","content":{"a":' || doc_id || '}},7]}' WHEN 1 THEN '{"conversations":"no list"}' ELSE '{"text":"t' || doc_id || '"}' END""")
-    path = one_file(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), v.alias("value")), "safe")
+    path = line_files(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), v.alias("value")), "safe")
     out = readers.safe_conversations(spark, path).withColumn("kind", F.when(F.col("text").isNotNull(), F.lit(2)).otherwise(0).cast("bigint"))
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("conversations")), F.lit(0)).cast("bigint").alias("messages"))
 
@@ -62,10 +62,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", F.regexp_extract("uri", r"lang=([^/]*)/", 1).alias("lang"))
 
 
-@query("S13_R02_ref_manifest", "SELECT 'e' || event_id AS sample_id, value AS v, user_id AS num_tokens FROM events WHERE event_id < 500")
+@query("S13_R02_ref_manifest", "SELECT 'e' || event_id AS sample_id, value AS v, user_id AS num_tokens FROM events")
 def ref_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "refs")
-    e = table(spark, sf_dir, "events").filter("event_id < 500")
+    e = table(spark, sf_dir, "events")
     sinks.write_jsonl(e.select(F.concat(F.lit("e"), "event_id").alias("sample_id"), F.col("user_id").cast("int").alias("num_tokens"), F.create_map(F.lit("v"), F.col("value").cast("string")).alias("metadata")), folder)
     return readers.read_refs(spark, folder).select("sample_id", F.col("metadata")["v"].cast("double").alias("v"), F.col("num_tokens").cast("bigint").alias("num_tokens"))
 

@@ -181,24 +181,24 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.nested_depths(rows, "g", "p", 3, 0.7, 0.2, SEED)
 
 
-@query("W21_retention", "SELECT o_orderkey AS step FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS r, o_totalprice = (SELECT max(o_totalprice) FROM orders WHERE o_orderkey < 500) AS best FROM orders WHERE o_orderkey < 500) WHERE r <= 3 OR best")
+@query("W21_retention", "SELECT o_orderkey AS step FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS r, o_totalprice = (SELECT max(o_totalprice) FROM orders) AS best FROM orders) WHERE r <= 3 OR best")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     best = o.agg(F.max("o_totalprice").alias("top"))
     rows = o.crossJoin(F.broadcast(best)).select(F.col("o_orderkey").alias("step"), (F.col("o_totalprice") == F.col("top")).alias("is_best"))  # one row
     return order.retained(rows, 3).select("step")
 
 
-@query("E03_pad_batch", f"WITH {TOKENS}, s AS (SELECT doc_id, doc_id // 16 AS batch, count(*) AS size, sum(token) AS total FROM tok WHERE i < 200 GROUP BY doc_id) SELECT doc_id, batch, (ceil(max(size) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS n, total::BIGINT AS total FROM s")
+@query("E03_pad_batch", f"WITH {TOKENS}, s AS (SELECT doc_id, doc_id // 16 AS batch, count(*) AS size, sum(token) AS total FROM tok GROUP BY doc_id) SELECT doc_id, batch, (ceil(max(size) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS n, total::BIGINT AS total FROM s")
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.slice("input_ids", 1, 200).alias("input_ids"), F.slice("loss_mask", 1, 200).alias("loss_mask"))
+    rows = tokens(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), "input_ids", "loss_mask")
     out = collate.pad_batch(rows, {"input_ids": 0, "loss_mask": 0}, multiple=8)
     return out.select("doc_id", "batch", F.size("input_ids").cast("bigint").alias("n"), F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("E04_concat_features", f"WITH {TOKENS} SELECT doc_id // 16 AS batch, count(*) AS n, md5(string_agg(token, ',' ORDER BY doc_id, i)) AS digest FROM tok WHERE i < 20 GROUP BY 1")
+@query("E04_concat_features", f"WITH {TOKENS} SELECT doc_id // 16 AS batch, count(*) AS n, md5(string_agg(token, ',' ORDER BY doc_id, i)) AS digest FROM tok GROUP BY 1")
 def concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.slice("input_ids", 1, 20).alias("x"))
+    rows = tokens(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.col("input_ids").alias("x"))
     out = collate.concat_features(rows, "batch", "doc_id", ["x"])
     return out.select("batch", F.size("x").cast("bigint").alias("n"), F.md5(F.array_join("x", ",").cast("binary")).alias("digest"))
 
@@ -215,9 +215,9 @@ def shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.get(A.shift_left(e, zero), F.lit(0)).alias("left0"), F.get(A.shift_right(e, zero), F.lit(1)).alias("right1"))
 
 
-@query("E10_anchor_blocks", f"WITH {TOKENS}, a AS (SELECT doc_id, unnest([0, 5, 11]) AS anchor FROM documents WHERE doc_id < 300), b AS (SELECT doc_id, anchor, unnest(range(0, 4)) AS o FROM a) SELECT b.doc_id, anchor, o::INT AS \"offset\", coalesce(t.token, 0)::INT AS label, coalesce(t.i % 3 <> 2, false) AS valid FROM b LEFT JOIN tok t ON t.doc_id = b.doc_id AND t.i = anchor + o")
+@query("E10_anchor_blocks", f"WITH {TOKENS}, a AS (SELECT doc_id, unnest([0, 5, 11]) AS anchor FROM documents), b AS (SELECT doc_id, anchor, unnest(range(0, 4)) AS o FROM a) SELECT b.doc_id, anchor, o::INT AS \"offset\", coalesce(t.token, 0)::INT AS label, coalesce(t.i % 3 <> 2, false) AS valid FROM b LEFT JOIN tok t ON t.doc_id = b.doc_id AND t.i = anchor + o")
 def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens(spark, sf_dir).filter("doc_id < 300").withColumn("anchors", F.array(F.lit(0), F.lit(5), F.lit(11)))
+    rows = tokens(spark, sf_dir).withColumn("anchors", F.array(F.lit(0), F.lit(5), F.lit(11)))
     return collate.anchor_blocks(rows, 4)
 
 
@@ -239,12 +239,12 @@ def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M20_block_mask",
-    """WITH k AS (SELECT l_orderkey AS doc, l_linenumber AS pos FROM lineitem WHERE l_orderkey < 2000),
+    """WITH k AS (SELECT l_orderkey AS doc, l_linenumber AS pos FROM lineitem),
     q AS (SELECT doc, a AS anchor, a + o AS pos FROM (SELECT DISTINCT doc FROM k), (SELECT unnest([2, 4]) AS a), (SELECT unnest([0, 1]) AS o))
     SELECT q.doc, q.anchor, q.pos AS q_pos, count(*) AS seen FROM q JOIN (SELECT doc, NULL AS anchor, pos FROM k UNION ALL SELECT * FROM q) k ON k.doc = q.doc AND ((k.anchor IS NULL AND k.pos < q.anchor AND k.pos >= q.anchor - 3) OR k.anchor = q.anchor) GROUP BY 1, 2, 3""",
 )
 def block_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("doc"), F.lit(None).cast("int").alias("anchor"), F.col("l_linenumber").cast("int").alias("pos"))
+    k = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(None).cast("int").alias("anchor"), F.col("l_linenumber").cast("int").alias("pos"))
     q = k.select("doc").distinct().select("doc", F.explode(F.array(F.lit(2), F.lit(4))).alias("anchor")).select("doc", "anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).select("doc", "anchor", (F.col("anchor") + F.col("o")).alias("pos"))
     return collate.block_mask(q, k.unionByName(q), window=3).groupBy("doc", "anchor", "q_pos").agg(F.count("*").alias("seen"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
+from chatloom.operators.order import in_file_order, ordered
 from chatloom.schemas import CONVERSATION, SAMPLE_REF
 
 SUFFIXES = (".json", ".jsonl")
@@ -23,10 +24,9 @@ def read_json(spark: SparkSession, path: str, schema: str | None = CONVERSATION)
 
 
 def numbered_lines(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """``line, value`` in file order, numbered from ``start``. Numbers are sums of partitions'
-    counts; no line is moved."""
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + start, x[0][0]))
-    return spark.createDataFrame(lines, "line bigint, value string")
+    """``line, value`` in the order of files and places in them, numbered from ``start``; no line
+    is moved."""
+    return in_file_order(spark.read.text(path).select("value"), "line", start).select("line", "value")
 
 
 def blank_line(c: Column) -> Column:
@@ -79,7 +79,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def manifest(files: DataFrame, run_id: str, limit: int | None = None) -> DataFrame:
     """One metadata row per file: ``sample_id`` is ``run:%08d`` of its place in path order."""
     files = files.orderBy("path").limit(limit) if limit is not None else files
-    numbered = files.sparkSession.createDataFrame(files.select("path").orderBy("path").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), "uri string, at bigint")
+    numbered = ordered(files.select(F.col("path").alias("uri")), "uri", name="at")
     return numbered.select(F.format_string("%s:%08d", F.lit(run_id), "at").alias("sample_id"), F.lit(run_id).alias("run_id"), "uri", F.lit(1).alias("schema_version"))
 
 

@@ -69,3 +69,33 @@ def test_mapping_is_published_whole(spark, tmp_path):
     rows = spark.range(3)
     with pytest.raises(ValueError):
         sinks.publish_mapping(rows, 4, str(tmp_path / "m"))
+
+
+def test_lines_are_numbered_across_files_and_blocks(spark, tmp_path):
+    want = []
+    for k, n in enumerate((3, 0, 400, 1, 57)):
+        lines = [f"{k}-{i}-" + "x" * (i % 30) for i in range(n)]
+        write(tmp_path / f"part-{k}.txt", "".join(x + "\n" for x in lines))
+        want += lines
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = readers.numbered_lines(spark, str(tmp_path), 5)
+            assert [r["value"] for r in sorted(out.collect(), key=lambda r: r["line"])] == want
+            assert sorted(r["line"] for r in out.collect()) == list(range(5, 5 + len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_positions_in_any_order(spark):
+    import random
+
+    from chatloom.operators import order
+
+    rows = [(random.Random(i).randrange(50), f"k{i:04d}") for i in range(500)]
+    df = spark.createDataFrame(rows, "a bigint, b string").repartition(7)
+    out = order.ordered(df, "a", "b").collect()
+    assert [(r["a"], r["b"]) for r in sorted(out, key=lambda r: r["pos"])] == sorted(rows)
+    assert order.ordered(df.limit(0), "a").count() == 0
+    assert "Python" not in order.ordered(df, "a")._jdf.queryExecution().toString()
