@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.functions import arrays as A
 
@@ -67,6 +68,15 @@ def unroll(rows: DataFrame, length: int, ids: str = "input_ids", fill: int = 0)
     return at.withColumn(ids, A.pad(F.slice(ids, F.col("step") + 1, n), n, F.lit(fill)))
 
 
+def flatten_lists(rows: DataFrame, column: str) -> DataFrame:
+    """Lists of lists in ``column`` as one list, however deep; null lists within are left out."""
+    kind = rows.schema[column].dataType
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        rows = rows.withColumn(column, F.flatten(F.filter(column, lambda x: x.isNotNull())))
+        kind = kind.elementType
+    return rows
+
+
 def file_group(index: Column, per: int = 2000) -> Column:
     """The folder of a feature file: ``rows_{first}-{first + per}``."""
     first = F.floor(index / per) * per

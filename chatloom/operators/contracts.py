@@ -85,3 +85,19 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
+def option_error() -> Column:
+    """The first thing wrong with the options ``max_length, min_loss_tokens, max_prompts (or null),
+    cache_dir, cache_key`` of a row, null if they are fine."""
+    return F.coalesce(
+        F.when(F.coalesce(F.col("max_length") < 1, F.lit(True)), "max_length must be positive"),
+        F.when(F.coalesce(F.col("min_loss_tokens") < 0, F.lit(True)), "min_loss_tokens must not be negative"),
+        F.when(F.col("max_prompts") < 0, "max_prompts must not be negative"),
+        F.when(F.col("cache_dir").isNull() != F.col("cache_key").isNull(), "cache_dir and cache_key go together"),
+    )
+
+
+def handshake(ours: Column, theirs: Column, fields: list[str]) -> Column:
+    """The fields in which two schedule records (structs) differ, nulls being equal; a schedule
+    without steps differs in ``total_steps``."""
+    wrong = [F.when(~ours[f].eqNullSafe(theirs[f]), F.lit(f)) for f in fields]
+    return F.array_compact(F.array(*wrong, F.when(F.coalesce(theirs["total_steps"], F.lit(0)) < 1, F.lit("total_steps"))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +96,39 @@ def advance(targets: DataFrame, key: str, order: str, value: str) -> DataFrame:
 def anti_resume(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Inputs without an output: by id, so the order of outputs doesn't matter."""
     return inputs.join(outputs.select(key).distinct(), key, "left_anti")
+
+
+def lease_queue(events: DataFrame, queue: str = "queue", key: str = "sample_id", order: str = "seq") -> DataFrame:
+    """Each queue's samples after its events in order: ``state`` is ``pending`` (with its ``place``
+    from 0), ``leased``, ``acked`` or ``failed``.
+
+    ``events`` has ``event`` (``put, get, ack, retry, fail``) and for ``get`` its ``count``. A put
+    of a sample that is pending or leased changes nothing, a get leases the first pending ones, an
+    ack ends a lease, a retry puts the sample at the tail, a fail drops it. A queue's log is
+    folded by one task; its rows are the events of one queue."""
+    kind = events.schema[key].dataType.simpleString()
+    at = events.schema[queue].dataType.simpleString()
+
+    def fold(keys: tuple, log: pd.DataFrame) -> pd.DataFrame:
+        pending: dict = {}  # in the order of the queue
+        other: dict = {}
+        for event, sample, count in log.sort_values(order)[["event", key, "count"]].itertuples(index=False):
+            if event == "put" and sample not in pending and other.get(sample) != "leased":
+                other.pop(sample, None)
+                pending[sample] = True
+            elif event == "get":
+                for first in list(islice(pending, int(count))):
+                    del pending[first]
+                    other[first] = "leased"
+            elif event == "ack" and other.get(sample) == "leased":
+                other[sample] = "acked"
+            elif event in ("retry", "fail"):
+                if event == "retry":
+                    other.pop(sample, None)
+                    pending[sample] = True
+                elif sample in other:
+                    other[sample] = "failed"
+        rows = [(keys[0], s, "pending", i) for i, s in enumerate(pending)] + [(keys[0], s, state, None) for s, state in other.items()]
+        return pd.DataFrame(rows, columns=[queue, key, "state", "place"]).astype({"place": "Int64"})
+
+    return events.groupBy(queue).applyInPandas(fold, f"{queue} {at}, {key} {kind}, state string, place bigint")

@@ -185,3 +185,12 @@ def confidence_terms(confidence: Column, accepted: Column) -> dict[str, Column]:
     c = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), confidence))
     bce = -(accepted * F.ln(c) + (1 - accepted) * F.ln(1 - c))
     return {"bce": F.avg(bce), "abs_error": F.avg(F.abs(confidence - accepted)), "agreement": F.avg(((confidence >= 0.5) == (accepted == 1)).cast("double"))}
+
+
+def mapped_accuracy(rows: DataFrame, pred: str, d2t: list[int], target: str, mask: str, keys: list[str]) -> DataFrame:
+    """``correct, denom, accuracy`` of draft ids against target ids: ``d2t`` has for each draft id
+    what must be added to it. Only rows with mask 1 count; the denominator is 1e-6 at least."""
+    offsets = F.array(*map(F.lit, d2t))
+    hit = (F.col(pred) + F.get(offsets, F.col(pred).cast("int")) == F.col(target)) & (F.col(mask) == 1)
+    out = rows.groupBy(*keys).agg(F.count_if(hit).cast("double").alias("correct"), F.greatest(F.sum(mask).cast("double"), F.lit(1e-6)).alias("denom"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("denom"))

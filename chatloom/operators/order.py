@@ -6,7 +6,9 @@ task; see ``positions``."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,6 +189,17 @@ def retained(checkpoints: DataFrame, newest: int, step: str = "step", best: str
     return at.filter((F.col(step) >= F.col("__from")) | F.col(best)).drop("__from")
 
 
+def accepted(rows: DataFrame, predicate: Callable[[list], bool], column: str = "loss_mask") -> DataFrame:
+    """The rows whose array a function from outside accepts, in Arrow batches. What built-in
+    functions can say is better given as a Column to ``filter``."""
+
+    @F.pandas_udf("boolean")
+    def accepts(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: a is not None and bool(predicate(list(a))))
+
+    return rows.filter(accepts(column))
+
+
 def accepted_cap(rows: DataFrame, cap: int, keep: Column, order: str) -> DataFrame:
     """The first ``cap`` rows that pass ``keep``: filtered before they are counted."""
     return rows.filter(keep).orderBy(order).limit(cap)

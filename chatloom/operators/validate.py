@@ -155,3 +155,8 @@ def flat_order_errors(messages: DataFrame, key: str = "conv_id", order: str = "t
         ~F.col("role").isin("user", "assistant"), F.concat(F.lit("message "), F.col("i"), F.lit(" has unsupported role '"), F.col("role"), F.lit("'"))
     ).when(F.col("role") != F.col("want"), F.concat(F.lit("message "), F.col("i"), F.lit(" expected role '"), F.col("want"), F.lit("', got '"), F.col("role"), F.lit("'")))
     return turns.withColumn("error", bad).filter("error IS NOT NULL").groupBy(key).agg(F.min_by("error", "i").alias("error"))
+
+
+def nonempty(messages: Column) -> Column:
+    """Whether a source row has any message: empty rows are skipped, not counted as errors."""
+    return F.coalesce(F.size(messages) > 0, F.lit(False))

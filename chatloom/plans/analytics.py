@@ -278,7 +278,7 @@ def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.get("g", F.lit(0)), 5).alias("v"), F.get("g", F.lit(1)).alias("outside"))
 
 
-@query("P17_byte_estimate", "SELECT vec_id, 64 * 4 * (vec_id % 3 + 1) AS bytes FROM embeddings")
+@query("P17_byte_estimate", "SELECT vec_id, len(embedding) * 4 * (vec_id % 3 + 1) AS bytes FROM embeddings")
 def byte_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.array(F.size("embedding").cast("bigint"), F.col("vec_id") % 3 + 1)
     return table(spark, sf_dir, "embeddings").select("vec_id", A.bytes_of(shape, contracts.width_of(F.lit("float32"))).alias("bytes"))

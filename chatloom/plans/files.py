@@ -153,10 +153,10 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_model_name(c, "Serve-Draft").alias("v"))
 
 
-@query("K09_T18_redacted", "SELECT count(*) AS n, 'doc_id,n_tok' AS columns FROM documents")
+@query("K09_T18_redacted", "SELECT doc_id, n_chars AS n_tok, to_json({doc_id: doc_id, n_tok: n_chars}) AS logged FROM documents")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sinks.loggable(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("api_key"), F.col("source").alias("Password"), F.col("n_chars").alias("n_tok")))
-    return d.agg(F.count("*").alias("n")).withColumn("columns", F.lit(",".join(d.columns)))
+    return d.withColumn("logged", F.to_json(F.struct(*d.columns)))
 
 
 @query("K11_T17_mirror_check", "SELECT path, a IS NULL AS missing_left, b IS NULL AS missing_right FROM (SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 10 <> 1 THEN 1 END AS a, CASE WHEN doc_id % 10 <> 2 THEN 1 END AS b FROM documents) WHERE a IS NULL OR b IS NULL")

@@ -83,6 +83,29 @@ def manifest(files: DataFrame, run_id: str, limit: int | None = None) -> DataFra
     return numbered.select(F.format_string("%s:%08d", F.lit(run_id), "at").alias("sample_id"), F.lit(run_id).alias("run_id"), "uri", F.lit(1).alias("schema_version"))
 
 
+def load_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Feature rows of Parquet files, or of JSON lines plain or compressed (``.gz``), by suffix."""
+    if path.endswith((".json", ".jsonl", ".gz")):
+        return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def fetch_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each JSON file below: ``path``, its fields, and an ``error`` where it can't be
+    read as that; no other sample takes its place."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    good = F.coalesce(F.try_parse_json("value").isNotNull() & F.startswith(strip(F.col("value")), F.lit("{")), F.lit(False))
+    return files.select("path", F.from_json(F.when(good, F.col("value")), schema).alias("row"), F.when(~good, "not a feature file").alias("error")).select("path", "row.*", "error")
+
+
+def concat_jsonl(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The rows of several JSONL files or folders as one."""
+    wrong = [p for p in paths if not p.rstrip("/").endswith(".jsonl")]
+    if wrong:
+        raise ValueError(f"expected .jsonl: {', '.join(wrong)}")
+    return spark.read.schema(schema).json(paths)
+
+
 def read_refs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE_REF).json(path)
 

@@ -69,3 +69,14 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Paths whose digests differ or that only one store has."""
     both = a.withColumnRenamed("sha256", "a").join(b.withColumnRenamed("sha256", "b"), "path", "full")
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("path", "a", "b")
+
+
+def write_results(results: DataFrame, path: str, key: str = "benchmark") -> None:
+    """Benchmark results as JSON, a folder for each benchmark; those there are replaced, others
+    stay."""
+    old = results.sparkSession.conf.get("spark.sql.sources.partitionOverwriteMode")
+    results.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        results.write.mode("overwrite").partitionBy(key).json(path)
+    finally:
+        results.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", old)

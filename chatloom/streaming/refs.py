@@ -94,5 +94,17 @@ def acknowledge(batch: DataFrame, batch_id: int, folder: str, key: str = "sample
     batch.select(key).distinct().write.mode("overwrite").parquet(f"{folder}/acked/batch={batch_id}")
 
 
+def publish(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Publish a batch of references whole or not at all; publishing it again replaces it. Works as
+    ``foreachBatch`` too."""
+    batch.write.mode("overwrite").parquet(f"{folder}/published/batch={batch_id}")
+
+
+def published(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All references that are published, with the ``batch`` of each: how far a publisher that
+    failed had come."""
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/published")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from chatloom.plans import analytics, conversations, files, ordering, registry, streams  # noqa: F401
+from chatloom.plans import analytics, conversations, files, ordering, registry, streams, workers  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables")
