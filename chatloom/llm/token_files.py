@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,11 @@ MAGIC = b"RANSTOK2"
 HEAD = struct.Struct("<8sIIQQI")
 #: A file ends with the document that fills it.
 FILE_TOKENS = 16 * rans.BLOCK
-#: Bytes of units and ids that a worker remembers (twice, as the last lot stays at hand), and
-#: the letters of the longest unit that it does.
-CACHE_BYTES, LONG = 100_000_000, 256
+#: Bytes of units and their ids that a worker remembers (some 1.5 million units), letters of the
+#: longest that stay, and how many parts of units are at hand besides.
+CACHE_BYTES, LONG, RECENT = 32 << 20, 256, 50_000
+#: Bytes of text whose units are looked up together.
+BATCH_BYTES = 8 << 20
 #: Bits of a row's number within its range partition.
 ROW_BITS = 33
 
@@ -45,8 +48,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: A unit of letters with a mark behind, or two such with a line's end between.
-SIMPLE = re.compile(r"([^\W\d_]+)([.,;:!?]?)(?:\n([^\W\d_]+)([.,;:!?]?))?")
+#: ASCII punctuation that makes one piece with its like: all but apostrophes, which may begin a
+#: contraction, and what special tokens are written with.
+MARKS = r"""[!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*"""
+#: A unit of letters with marks behind, or two such with a line's end between.
+SIMPLE = re.compile(rf"([^\W\d_]+)({MARKS})(?:\n([^\W\d_]+)({MARKS}))?")
+#: Letters above are left to the whole tokenizer.
+LATIN = "ɐ"
 
 
 class Encoder:
@@ -55,7 +63,8 @@ class Encoder:
     The tokenizer (byte-level, without normalizer or prefix space) never joins what stands
     before a space to what follows it, unless white space meets there; such texts are
     encoded whole. Units of letters and marks go to the tokenizer's model piece by piece, as
-    its own splitting would; all others through the whole tokenizer."""
+    its own splitting would; all others through the whole tokenizer. Units are looked up by
+    Arrow and their ids laid side by side by numpy, so that Python sees new units only."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,11 +78,13 @@ class Encoder:
         self.size = self.whole.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.size <= 1 << 16 else "I"
-        self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {p: self._piece(p) for p in ".,;:!?\n"}
-        self.edges: dict[str, bytes] = {}  # units with white space at an end
-        self.held = 0
+        self.line = self._piece("\n")
+        self.recent: dict[str, bytes] = {}  # words and marks that units were put together from
+        #: What is remembered: units, the ids of all in a row, how many each has, and whether white
+        #: space stands at its left and right end (or it is empty).
+        self.units = pa.array([], pa.string())
+        self.ids, self.counts = np.empty(0, self.kind), np.empty(0, np.int64)
+        self.left, self.right = np.empty(0, bool), np.empty(0, bool)
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -83,73 +94,133 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece as the tokenizer's splitting gives it to its model."""
-        spelled = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        if not piece.isascii() or piece == "\n":
+            spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        else:
+            spelled = "Ġ" + piece[1:] if piece[0] == " " else piece
         return self._pack([t.id for t in self.model.tokenize(spelled)])
 
-    def _word(self, word: str) -> bytes:
-        known = self.ids.get(word) or self.old.get(word)
-        return known if known is not None else self._keep(self.ids, word, self._piece(" " + word))
-
-    def _keep(self, where: dict[str, bytes], unit: str, ids: bytes) -> bytes:
-        if len(unit) <= LONG:
-            where[unit] = ids
-            self.held += 100 + sys.getsizeof(unit) + sys.getsizeof(ids)
-        return ids
-
-    def _learn(self, units: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of units that aren't remembered, and of those among them with white space at an end."""
-        out, edges, rest = {}, {}, []
+    def _part(self, piece: str) -> bytes:
+        found = self.recent.get(piece)
+        if found is None:
+            found = self._piece(piece)
+            if len(piece) <= LONG:
+                self.recent[piece] = found
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each with the space before it."""
+        out, rest, piece, part = [], [], self._piece, self._part
+        if len(self.recent) > RECENT:
+            self.recent = {}
         for u in units:
-            if (known := self.old.get(u)) is not None:
-                out[u] = known
-            elif u.isalpha() and max(u) < "ɐ":
-                out[u] = self._piece(" " + u)
-            elif u and max(u) < "ɐ" and (m := SIMPLE.fullmatch(u)):
-                word, mark, second, end = m.groups()
-                out[u] = self._word(word)
-                if mark:
-                    out[u] += self.pieces[mark]
+            if u.isalpha() and (u.isascii() or max(u) < LATIN):
+                out.append(piece(" " + u))
+            elif u and (u.isascii() or max(u) < LATIN) and (m := SIMPLE.fullmatch(u)):
+                word, marks, second, end = m.groups()
+                known = part(" " + word)
+                if marks:
+                    known += part(marks)
                 if second:
-                    out[u] += self.pieces["\n"] + self._piece(second) + (self.pieces[end] if end else b"")
+                    known += self.line + piece(second)
+                    if end:
+                        known += part(end)
+                out.append(known)
             else:
-                rest.append(u)
-        for u, e in zip(rest, self.whole.encode_batch_fast([" " + u for u in rest], add_special_tokens=False), strict=True):
-            (edges if not u or u[0].isspace() or u[-1].isspace() else out)[u] = self._pack(e.ids)
-        for found, where in ((out, self.ids), (edges, self.edges)):
-            for u, ids in found.items():
-                self._keep(where, u, ids)
-        return out, edges
+                rest.append(len(out))
+                out.append(b"")
+        for i, e in zip(rest, self.whole.encode_batch_fast([" " + units[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[i] = self._pack(e.ids)
+        return out
+
+    def _forget(self) -> None:
+        """Beyond CACHE_BYTES, keep the units that were learned last, of half of them."""
+        if self.ids.nbytes + self.units.nbytes > CACHE_BYTES:
+            sizes = self.counts * self.kind.itemsize + pc.binary_length(self.units).to_numpy(zero_copy_only=False)
+            keep = (np.cumsum(sizes[::-1])[::-1] <= CACHE_BYTES // 2) & (sizes <= LONG * 8)
+            self.ids = self.ids[np.repeat(keep, self.counts)]
+            self.counts, self.left, self.right = self.counts[keep], self.left[keep], self.right[keep]
+            self.units = self.units.filter(pa.array(keep))
+
+    def _remember(self, new: pa.Array) -> None:
+        units = new.to_pylist()
+        found = self._learn(units)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.kind)])
+        self.counts = np.append(self.counts, np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize)
+        self.left = np.append(self.left, np.fromiter((not u or u[0].isspace() for u in units), bool, len(units)))
+        self.right = np.append(self.right, np.fromiter((not u or u[-1].isspace() for u in units), bool, len(units)))
+        self.units = pa.concat_arrays([self.units, new])
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Where each unit stands among the remembered ones; new ones are learned."""
+        self._forget()
+        at = pc.index_in(units, value_set=self.units)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False)
+        gaps = pc.is_null(at)
+        missing, known = units.filter(gaps), len(self.units)
+        new = missing.unique()
+        self._remember(new)
+        places = at.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        places[gaps.to_numpy(zero_copy_only=False)] = known + pc.index_in(missing, value_set=new).to_numpy(zero_copy_only=False)
+        return places
+
+    def _head(self, head: str) -> bytes:
+        """Ids of what stands before the first space of a text."""
+        if not head or head.isalpha() and (head.isascii() or max(head) < LATIN):
+            return self._piece(head) if head else b""
+        return self._whole(head)
 
     def encode(self, text: str) -> bytes:
-        if not self.apart or not text:
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        head, *units = text.split(" ")
-        body = list(map(self.ids.get, units))
-        if None in body:
-            if self.held > CACHE_BYTES:  # what was used since the last time stays at hand
-                self.old, self.ids, self.edges, self.held = self.ids, {}, {}, 0
-                body = [None] * len(units)
-            gaps = [i for i, b in enumerate(body) if b is None]
-            fresh, edges = self._learn({units[i] for i in gaps if units[i] not in self.edges})
-            meets = False
-            for i in gaps:
-                if (known := fresh.get(units[i])) is None:
-                    known, meets = edges[units[i]] if units[i] in edges else self.edges[units[i]], True
-                body[i] = known
-            if meets and _meets(head, units):
-                return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        first = self._pack(self.whole.encode(head, add_special_tokens=False).ids) if head else b""
-        return first + b"".join(body)
-
-
-def _meets(head: str, units: list[str]) -> bool:
-    """Whether white space stands on both sides of a space, or before one at the end."""
-    left = head[-1:].isspace()
-    for u in units:
-        if (not u or u[0].isspace()) and left:
-            return True
-        left = not u or u[-1].isspace()
-    return False
+        return self.encode_all(pa.array([text], pa.string()))[0].as_py()
+
+    def encode_all(self, texts: pa.Array, tail: bytes = b"") -> pa.Array:
+        """The ids of each text (none null) with ``tail`` behind, as bytes."""
+        if not self.apart:
+            return pa.array([(self._whole(t.as_py()) if t.as_py() else b"") + tail for t in texts], pa.large_binary())
+        lists = pc.split_pattern(texts.cast(pa.string()), " ")
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(sizes) - sizes  # every text has a first unit, if an empty one
+        is_unit = np.ones(len(flat), bool)
+        is_unit[first] = False
+        heads = flat.take(pa.array(first)).to_pylist()
+        of = self._places(flat.filter(pa.array(is_unit)))
+        own = [self._head(h) for h in heads]
+        # White space on both sides of a space, or before one at the end of a text.
+        begins, ends = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+        begins[is_unit], ends[is_unit] = self.left[of], self.right[of]
+        ends[first] = [h[-1:].isspace() for h in heads]
+        meets = np.append(ends[:-1] & begins[1:] & is_unit[1:], False)
+        last = first + sizes - 1
+        meets[last] = ends[last] & is_unit[last]
+        met = np.logical_or.reduceat(meets, first) if len(first) else meets
+        for k in np.flatnonzero(met).tolist():
+            own[k] = self._whole(texts[k].as_py())
+        # The output in order: of each text the head, its units, the tail.
+        store = np.concatenate([self.ids, np.frombuffer(b"".join([*own, tail]), self.kind)])
+        counts = np.append(self.counts, [len(x) // self.kind.itemsize for x in (*own, tail)]).astype(np.int64)
+        starts = np.cumsum(counts) - counts
+        text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        item = np.full(len(text_of), len(counts) - 1, np.int32)
+        is_tail = np.zeros(len(item), bool)
+        is_tail[first + sizes + np.arange(len(sizes))] = True
+        pieces = np.empty(len(flat), np.int32)
+        pieces[is_unit], pieces[first] = of, len(self.counts) + np.arange(len(sizes))
+        item[~is_tail] = pieces
+        if met.any():
+            keep = ~met[text_of] | (item >= len(self.counts))
+            item, text_of = item[keep], text_of[keep]
+        n = counts[item]
+        upto = np.cumsum(n)
+        at = np.repeat((starts[item] - (upto - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = store[at]
+        offsets = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(np.bincount(text_of, n, len(sizes)).astype(np.int64) * self.kind.itemsize, out=offsets[1:])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 @lru_cache(maxsize=2)
@@ -157,6 +228,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some BATCH_BYTES of text together."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
+        yield at, upto
+        at = upto
+
+
 def _tokenize(path: str, end: int):
     """Batches of (doc_id, text, row) to (doc_id, row, ids)."""
 
@@ -164,10 +245,9 @@ def _tokenize(path: str, end: int):
         e = encoder(path)
         tail = e._pack([end])
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                out = [e.encode(t.as_py() or "") + tail for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(out, pa.binary())], ["doc_id", "row", "ids"])
+            for at, upto in _parts(b.column(1)):
+                part = b.slice(at, upto - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), e.encode_all(part.column(1), tail).cast(pa.binary())], ["doc_id", "row", "ids"])
 
     return run
 

@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,11 +490,22 @@ def test_token_files_of_null_and_repeated_ids(spark, tokenizer):
 def test_memory_of_units_is_bounded_by_bytes(tokenizer, monkeypatch):
     e = token_files.Encoder(tokenizer)
     monkeypatch.setattr(token_files, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "RECENT", 50)
     rng = random.Random(2)
     for i in range(300):
-        t = " ".join(["漢字" * rng.randint(1, 400), f"word{i}", "x\n", prose(rng, 5)])
+        t = " ".join(["漢字" * rng.randint(1, 400), f"word{i}", "x\n", prose(rng, 5), f"ab{'c' * (i % 9)},%%"])
         assert np.frombuffer(e.encode(t), e.kind).tolist() == e.whole.encode(t, add_special_tokens=False).ids
-        assert sum(len(u) + len(x) for m in (e.ids, e.old, e.edges) for u, x in m.items()) < 60_000
+        assert e.ids.nbytes + e.units.nbytes < 60_000 and len(e.recent) < 60
+
+
+def test_texts_encode_together_as_alone(tokenizer):
+    e = token_files.Encoder(tokenizer)
+    rng = random.Random(7)
+    parts = ["a", "Wort", "é", "ça", " ", " ", " ", "\n", "\t", ".", ",%%%", "!!", "$&*", "'s", "'", "1", "漢", "<|", "|>", "<|endoftext|>", "_", "ª", "²", "ﬁ", "\u00a0"]
+    for _ in range(40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 60))]
+        got = e.encode_all(pa.array(texts, pa.string()), e._pack([2])).to_pylist()
+        assert [np.frombuffer(x, e.kind).tolist() for x in got] == [[*e.whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
 # --- 6: sharding
