@@ -79,11 +79,14 @@ def _places(rows: DataFrame, words: str, span: int) -> DataFrame:
     at ``base``. Other columns stay."""
     others = [c for c in rows.columns if c != words]
     start = lambda s: F.greatest(s - MARGIN, F.lit(0))
-    stretch = lambda s: F.struct(s.alias("first"), start(s).alias("base"), F.slice(F.col(words), start(s) + 1, F.lit(STRETCH + span + 2 * MARGIN)).alias("part"))
-    size = F.size(words)
-    parts = rows.select(*others, size.alias("n"), F.explode(F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1, F.lit(STRETCH)), stretch))).alias("x"))
-    parts = parts.select(*others, "n", "x.first", "x.base", "x.part")
-    return parts.select(*others, "n", "base", "part", F.explode(F.expr(f"sequence(first, least(first + {STRETCH}, n) - 1)")).alias("pos"))
+    upto = lambda w, s: F.least(start(s) + (STRETCH + span + 2 * MARGIN), F.size(w)) - 1
+    # Word by word, as slice() unpacks the whole array each time.
+    part = lambda w, s: F.transform(F.sequence(start(s), upto(w, s)), lambda i: F.get(w, i))
+    stretch = lambda w: lambda s: F.struct(F.size(w).alias("n"), s.alias("first"), start(s).alias("base"), part(w, s).alias("part"))
+    # The words are bound once: Catalyst would put what makes them in each place that names them.
+    parts = F.transform(F.array(F.col(words)), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(STRETCH)), stretch(w))))
+    rows = rows.select(*others, F.explode(F.get(parts, F.lit(0))).alias("x")).select(*others, "x.n", "x.first", "x.base", "x.part")
+    return rows.select(*others, "n", "base", "part", F.explode(F.expr(f"sequence(first, least(first + {STRETCH}, n) - 1)")).alias("pos"))
 
 
 def _keys(masks: list[str]) -> list[Column]:
