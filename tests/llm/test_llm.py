@@ -460,7 +460,7 @@ def by_running_sum(spark, tokenizer, rows):
 APART = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
-@pytest.mark.parametrize("conf", [APART, APART | {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}, APART | {"spark.sql.files.maxRecordsPerFile": "5"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}])
+@pytest.mark.parametrize("conf", [APART, APART | {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1k"}, APART | {"spark.sql.files.maxRecordsPerFile": "20"}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}])
 def test_token_files_however_parts_are_packed(spark, tokenizer, conf):
     rng = random.Random(9)
     rows = [(i * 3, prose(rng, rng.choice([1, 3, 10, 200]))) for i in range(400)]
