@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     worded = described.filter("n_shingles > 0")
     first = materialize(worded.groupBy("words").agg(F.min("doc_id").alias("class_id")), "first")
     copies = worded.select(F.col("doc_id").alias("id")).join(first.select(F.col("class_id").alias("id")), "id", "left_anti").distinct()
-    classes = pick(rows.select(F.col("doc_id").alias("id"), "text"), copies, "left_anti")
+    classes = pick(rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), copies, "left_anti")
     # Texts under one doc_id hold their classes together.
     several = worded.groupBy(F.col("doc_id").alias("id")).agg(F.min("words").alias("lo"), F.max("words").alias("hi")).filter("lo < hi").select("id")
     several = materialize(several, "several-texts")

@@ -1011,3 +1011,13 @@ def test_texts_under_one_id_hold_their_classes_together(spark):
         df = spark.createDataFrame(rows, "doc_id bigint, text string")
         got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
         assert got == sorted((d, of[d]) for d, _ in rows)
+
+
+def test_null_ids_link_with_nothing(spark):
+    t, u = "a b c d e f g h", "q r s t u v w x"
+    rows = [(None, t), (None, u), (2, t), (2, u), (3, u), (9, t), (4, None), (4, ""), (7, "A B c d e f g h")]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out if r["doc_id"] is not None) == [(2, 2), (2, 2), (3, 2), (4, 4), (4, 4), (7, 2), (9, 2)]
+    assert [(r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] is None] == [(0, None)] * 2
+    once = spark.createDataFrame(rows[:2] + [(5, t)], "doc_id bigint, text string")
+    assert len(ngram_join.jaccard_components(once).collect()) == 3
