@@ -37,12 +37,6 @@ def ordered(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataFra
     return _from_parts(materialize(at, "ordered"), name)
 
 
-def scanned(rows: DataFrame, name: str = "pos") -> DataFrame:
-    """Number rows from 0 as partitions hold them. The rows are read twice, so they must come from
-    a scan of files."""
-    return _from_parts(rows.withColumn("__m", F.monotonically_increasing_id()), name)
-
-
 def _from_parts(rows: DataFrame, name: str) -> DataFrame:
     rows = rows.withColumn("__p", F.shiftright("__m", 33))
     parts = starts(rows.groupBy("__p").agg(F.count("*").alias("__n")), "__p").drop("__n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import falsy, stable_id
-from chatloom.operators.order import scanned
+from chatloom.operators.order import in_file_order
 
 #: Speakers and the roles that they are.
 ROLES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bing": "assistant", "bard": "assistant"}
@@ -88,9 +88,9 @@ def rename_id(rows: DataFrame, old: str = "uuid") -> DataFrame:
 
 
 def add_index(rows: DataFrame, name: str = "id") -> DataFrame:
-    """Rows of a scan numbered from 0 as its partitions hold them: each partition's start is the
-    rows before it, so no partition is moved and nothing is sorted."""
-    return scanned(rows.drop(name), name)
+    """Rows of a scan of files numbered from 0 in the order of the files and of places in them:
+    Spark packs the largest files first, so its partitions are in another order."""
+    return in_file_order(rows.drop(name), name)
 
 
 PRESETS: dict[str, Callable[[DataFrame], DataFrame]] = {

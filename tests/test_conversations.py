@@ -164,3 +164,28 @@ def test_tool_calls_keep_known_fields(spark):
 def test_channels(spark):
     out = one(spark, normalize.channels, "<|channel|> a<|message|>x\ny<|end|><|channel|>b<|message|> z <|end|>", "plain")
     assert [[tuple(s) for s in x] for x in out] == [[("a", "x\ny"), ("b", "z")], [("text", "plain")]]
+
+
+def test_index_follows_files_of_any_size(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from chatloom.plans import conversations, registry  # noqa: F401
+
+    at, old = 0, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "documents.parquet").mkdir()
+    for k, n in enumerate((30, 0, 2000, 1, 700, 5000)):  # the largest are packed first
+        ids = [(i * 7919) % 100003 for i in range(at, at + n)]
+        pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64())}), tmp_path / "documents.parquet" / f"part-{k}.parquet", row_group_size=600)
+        at += n
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(duck.sql(registry.ORACLES["P10_add_index"]).fetchall())
+    try:
+        for size in ("128m", "9k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = registry.QUERIES["P10_add_index"](spark, str(tmp_path)).select("old", "id").collect()
+            assert sorted(map(tuple, out)) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
