@@ -864,6 +864,15 @@ def test_every_accepted_pattern_of_short_items_has_a_seed(spark):
     assert out == want
 
 
+def test_each_key_is_taken_once_for_each_place(spark):
+    """A filter that repeats the keys makes a method too large to be compiled well."""
+    item = " ".join(f"w{i}" for i in range(20))
+    out = decontaminate.find_leaks(docs(spark, [f"a b {item}", "c d"]), spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"xxhash64({k}, ") for k in range(len(decontaminate.MASKS))] == [1] * len(decontaminate.MASKS)
+    assert [r["item_id"] for r in out.collect()] == [1]
+
+
 # --- 10: n-gram Jaccard join
 
 
