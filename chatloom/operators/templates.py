@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,49 +125,73 @@ def spans(text: str, t: Template, last_only: bool = False) -> list[tuple[int, in
     return found[-1:] if last_only else found
 
 
-Tokenize = Callable[[str], tuple[list[int], list[tuple[int, int]]]]
+#: A text's ids and the places of each, as lists or arrays.
+Tokenize = Callable[[str], tuple[Sequence[int], Sequence[tuple[int, int]]]]
+#: Tokens after which a piece of labels is handed on: an Arrow batch has thousands of texts, and
+#: their labels together are many times its size.
+PIECE = 1 << 20
+#: Behind all places.
+_END = 1 << 62
 
 
-def code_points(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+def code_points(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A tokenizer of one id per character, for tests and character counts."""
-    return [ord(c) for c in text], [(i, i + 1) for i in range(len(text))]
+    ids = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+    at = np.arange(len(ids))
+    return ids, np.stack([at, at + 1], axis=1)
+
+
+def _next(found: list[tuple[int, int]], far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the first of ``found`` that ends behind each place of ``far``, which doesn't
+    fall; ``_END`` where there is none."""
+    x = np.array([*found, (_END, _END)], dtype=np.int64)
+    at = np.searchsorted(np.maximum.accumulate(x[:, 1]), far, side="right")
+    return x[at, 0], x[at, 1]
+
+
+def _label(text: str, t: Template, tokenize: Tokenize, max_length: int | None, last_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    ids, places = tokenize(text)
+    ids = np.asarray(ids[:max_length], dtype=np.int32)
+    s, e = np.asarray(places[:max_length], dtype=np.int64).reshape(-1, 2).T
+    far = np.maximum.accumulate(s)  # what ends before a token is passed for all tokens after it
+    start, end = _next(spans(text, t, last_only), far)
+    mask = start <= s
+    if t.parser == "openai-harmony":
+        mask &= e <= end
+    if ignored := sorted(m.span() for token in t.ignored for m in re.finditer(re.escape(token), text)):
+        start, end = _next(ignored, far)
+        mask &= (s < start) | (s >= end)
+    return ids, mask.astype(np.int32)
 
 
 def label(text: str, t: Template, tokenize: Tokenize = code_points, max_length: int | None = None, last_only: bool = False) -> tuple[list[int], list[int]]:
     """Token ids and their mask: 1 where a token begins in a supervised span and in no ignored
     token (whole tokens inside the span for channel templates)."""
-    ids, places = tokenize(text)
-    ids, places = ids[:max_length], places[:max_length]
-    mask = [0] * len(ids)
-    inside = spans(text, t, last_only)
-    ignored = [m.span() for token in t.ignored for m in re.finditer(re.escape(token), text)]
-    whole = t.parser == "openai-harmony"
-    at, cut = 0, 0
-    ignored.sort()
-    for i, (s, e) in enumerate(places):
-        while at < len(inside) and inside[at][1] <= s:
-            at += 1
-        while cut < len(ignored) and ignored[cut][1] <= s:
-            cut += 1
-        if at < len(inside) and inside[at][0] <= s and (not whole or e <= inside[at][1]):
-            mask[i] = 1
-        if cut < len(ignored) and ignored[cut][0] <= s < ignored[cut][1]:
-            mask[i] = 0
-    return ids, mask
+    ids, mask = _label(text, t, tokenize, max_length, last_only)
+    return ids.tolist(), mask.tolist()
+
+
+def _label_pieces(batches: Iterator[pa.RecordBatch], t: Template, tokenize: Tokenize, max_length: int | None, last_only: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of key and text to labels, in pieces of ``PIECE`` tokens and one text more at most."""
+    for b in batches:
+        key, texts = b.columns
+        done, held, n = 0, [], 0
+        for i in range(len(texts)):
+            held.append(_label(texts[i].as_py() or "", t, tokenize, max_length, last_only))
+            n += len(held[-1][0])
+            if n >= PIECE or i + 1 == len(texts):
+                ends = pa.array(np.cumsum([0, *(len(x) for x, _ in held)]), pa.int32())
+                parts = [np.concatenate(x) for x in zip(*held, strict=True)] + [np.ones(n, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([key.slice(done, len(held)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in parts)], names=[b.schema.names[0], "input_ids", "loss_mask", "attention_mask"])
+                done, held, n = i + 1, [], 0
 
 
 def label_texts(rows: DataFrame, template: str | Template, text: str = "text", key: str = "id", tokenize: Tokenize = code_points, max_length: int | None = None, last_only: bool = False) -> DataFrame:
     """``key, input_ids, loss_mask, attention_mask`` of rendered texts, in Arrow batches: regex
     places aren't to be had from built-in functions."""
     t = TEMPLATES[template] if isinstance(template, str) else template
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [label(x or "", t, tokenize, max_length, last_only) for x in b[text]]
-            yield pd.DataFrame({key: b[key], "input_ids": [o[0] for o in out], "loss_mask": [o[1] for o in out], "attention_mask": [[1] * len(o[0]) for o in out]})
-
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, input_ids array<int>, loss_mask array<int>, attention_mask array<int>")
+    return rows.select(key, text).mapInArrow(lambda b: _label_pieces(b, t, tokenize, max_length, last_only), f"{key} {kind}, input_ids array<int>, loss_mask array<int>, attention_mask array<int>")
 
 
 def label_rendered(rows: DataFrame, template: Template, messages: str = "conversations", key: str = "id", last_only: bool = False) -> DataFrame:

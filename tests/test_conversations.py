@@ -1,5 +1,8 @@
 import json
+import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +133,51 @@ def test_native_labels_equal_span_labels(spark):
     assert templates.label(native["text"], t)[1] == list(native["loss_mask"])
 
 
+def slow_mask(places, inside, ignored, whole):
+    mask, at, cut = [0] * len(places), 0, 0
+    for i, (s, e) in enumerate(places):
+        while at < len(inside) and inside[at][1] <= s:
+            at += 1
+        while cut < len(ignored) and ignored[cut][1] <= s:
+            cut += 1
+        if at < len(inside) and inside[at][0] <= s and (not whole or e <= inside[at][1]):
+            mask[i] = 1
+        if cut < len(ignored) and ignored[cut][0] <= s < ignored[cut][1]:
+            mask[i] = 0
+    return mask
+
+
+def test_masks_against_a_plain_walk_over_the_tokens():
+    rng = random.Random(8)
+    for name, t in templates.TEMPLATES.items():
+        bits = [x for x in (t.assistant, t.user, t.end, *t.ignored, "<|start|>assistant", "<|start|>user<|message|>", "a", "é漢", "😀\n") if x]
+        for _ in range(40):
+            text, at, places = "".join(rng.choice(bits) for _ in range(rng.randrange(12))), 0, []
+            while at < len(text):
+                end = min(len(text), at + rng.randint(1, 9))
+                places += [(at, end)] * rng.randint(1, 2)
+                at = end
+            rng.random() < 0.2 and rng.shuffle(places)
+            last, most = rng.random() < 0.5, rng.choice([None, 7])
+            ignored = sorted(m.span() for x in t.ignored for m in re.finditer(re.escape(x), text))
+            for got, p in ((templates.label(text, t, lambda _: (list(range(len(places))), places), most, last), places), (templates.label(text, t, max_length=most, last_only=last), [(i, i + 1) for i in range(len(text))])):
+                assert got[1] == slow_mask(p[:most], templates.spans(text, t, last), ignored, t.parser == "openai-harmony"), (name, text)
+            assert templates.label(text, t)[0] == [ord(c) for c in text]
+
+
+def test_labels_of_a_batch_are_handed_on_in_pieces(monkeypatch):
+    """Labels of all texts of a batch at once are many times its size."""
+    monkeypatch.setattr(templates, "PIECE", 1000)
+    texts = ["<|im_start|>assistant\n" + "x" * (37 * i % 700) + "<|im_end|>\n" for i in range(200)] + [None, "y" * 5000, ""]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    out = list(templates._label_pieces(iter([batch, batch.slice(0, 0)]), templates.TEMPLATES["qwen"], templates.code_points, None, False))
+    assert len(out) > 50 and all(len(b.column("input_ids").flatten()) < 1000 + 5000 for b in out)
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["id"] == list(range(len(texts)))
+    for text, ids, mask, seen in zip(texts, got["input_ids"], got["loss_mask"], got["attention_mask"], strict=True):
+        assert (ids, mask) == templates.label(text or "", templates.TEMPLATES["qwen"]) and seen == [1] * len(ids)
+
+
 def one(spark, fn, *texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r["v"] for r in rows.select("i", fn(F.col("t")).alias("v")).orderBy("i").collect()]
