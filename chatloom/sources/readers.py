@@ -150,7 +150,8 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     with os.scandir(root) as found:
         folders = [(f"{root.rstrip('/')}/{x.name}", True) for x in found if x.is_dir() and not _hidden(x.name)]
     listed = spark.createDataFrame([(root.rstrip("/") or "/", False), *folders], "folder string, deep boolean").mapInArrow(_list, "path string")
-    return listed.repartition("path").mapInArrow(_fetch, "path string, value binary").withColumn("value", F.col("value").cast("string"))
+    tasks = 4 * spark.sparkContext.defaultParallelism  # by bytes of paths, which are few, it would be one or two
+    return listed.repartition(tasks, "path").mapInArrow(_fetch, "path string, value binary").withColumn("value", F.col("value").cast("string"))
 
 
 def fetch_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
